@@ -34,6 +34,8 @@ class Risk:
 
     risk: float = 0.01
     delta: float = 0.1
+    #: Rejected good documents that outweigh one rejected bad one, in choosing among allowed cutoffs.
+    price: float = 3.0
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -122,17 +124,19 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> di
     """Cutoff by (stratum, rule); absent where no cutoff holds the promise. At most 4 x 5 numbers reach the driver."""
     import math
 
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("_good")).where(F.col("_good") == 1).select("doc_id")
-    held = measured.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").withColumn("_stratum", stratum())
-    counts = [F.count_if(RULES[r]() > c).alias(f"{r}__{k}") for r in RULES for k, c in enumerate(GRID)]
-    per = held.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
-    tests = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}__{k}").alias("k")) for r in RULES for k, c in enumerate(GRID)]))
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("_good")).where(F.col("_good").isNotNull())
+    held = measured.where(~F.col("base_failed")).join(good, "doc_id").withColumn("_stratum", stratum())
+    fine = F.col("_good") == 1
+    counts = [F.count_if(side & (RULES[r]() > c)).alias(f"{r}__{k}__{name}") for r in RULES for k, c in enumerate(GRID) for name, side in (("good", fine), ("bad", ~fine))]
+    per = held.groupBy("_stratum").agg(F.count_if(fine).alias("n"), *counts)
+    tests = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}__{k}__good").alias("k"), F.col(f"{r}__{k}__bad").alias("bad")) for r in RULES for k, c in enumerate(GRID)]))
     level = math.log(risk.delta / (len(RULES) * (len(STRATA) + 1)))
     rows = (
         per.select("_stratum", "n", tests.alias("t")).select("_stratum", "n", "t.*")
         .where(F.col("k") <= F.col("n") * risk.risk)
         .where(binomial_cdf_log(F.col("k"), F.col("n"), risk.risk) <= level)
-        .groupBy("_stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+        # All these keep the promise; of them the one that tells bad from good documents best, the loosest on ties.
+        .groupBy("_stratum", "rule").agg(F.max_by("cutoff", F.struct(F.col("bad") - risk.price * F.col("k"), "cutoff")).alias("cutoff"))
     )
     return {(r["_stratum"], r["rule"]): r["cutoff"] for r in rows.collect()}
 
