@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .mixing import op3_mixing
+from .near_dedup import op8_near_dedup
 from .quality_rules import op10_quality_rules
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op8_near_dedup": op8_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
