@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from .mixing import op3_mixing
 from .near_dedup import op8_near_dedup
+from .quality_classifier import op2_quality
 from .quality_rules import op10_quality_rules
+from .topk import ORACLE as TOPK_SQL
+from .topk import op1_topk
+from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_topk": op1_topk,
+    "op2_quality": op2_quality,
+    "op9_toxicity": op9_toxicity,
     "op3_mixing": op3_mixing,
     "op8_near_dedup": op8_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_topk": TOPK_SQL}
