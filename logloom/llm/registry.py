@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .mixing import op3_mixing
 from .near_dedup import op8_near_dedup
+from .packing import op5_packing
 from .quality_classifier import op2_quality
 from .quality_rules import op10_quality_rules
 from .topk import ORACLE as TOPK_SQL
@@ -13,6 +14,7 @@ from .toxicity import op9_toxicity
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_quality": op2_quality,
+    "op5_packing": op5_packing,
     "op9_toxicity": op9_toxicity,
     "op3_mixing": op3_mixing,
     "op8_near_dedup": op8_near_dedup,
