@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_dedup import op7_line_dedup
 from .mixing import op3_mixing
 from .near_dedup import op8_near_dedup
 from .packing import op5_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_topk": op1_topk,
     "op2_quality": op2_quality,
     "op5_packing": op5_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op3_mixing": op3_mixing,
     "op8_near_dedup": op8_near_dedup,
