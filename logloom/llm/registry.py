@@ -6,6 +6,7 @@ from .line_dedup import op7_line_dedup
 from .mixing import op3_mixing
 from .near_dedup import op8_near_dedup
 from .packing import op5_packing
+from .private_data import op6_private_data
 from .quality_classifier import op2_quality
 from .quality_rules import op10_quality_rules
 from .topk import ORACLE as TOPK_SQL
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_topk": op1_topk,
     "op2_quality": op2_quality,
     "op5_packing": op5_packing,
+    "op6_private_data": op6_private_data,
     "op7_line_dedup": op7_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op3_mixing": op3_mixing,

@@ -23,3 +23,35 @@ def rule_counts(text):
         "n_repeat_words": len(hit),
         "base_failed": len(ws) < 20 or 100 * len(hit) > 30 * len(ws),
     }
+
+
+KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _holds(kind, value):
+    import re
+
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    if kind == "card":
+        d = [int(c) for c in reversed(digits)]
+        return 16 <= len(d) <= 19 and sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+    return 8 <= len(digits) <= 15 if kind == "phone" else True
+
+
+def base_spans(text):
+    import re
+
+    return {k: [(m.start(), m.end()) for m in re.finditer(p, text or "", re.A) if _holds(k, m[0])] for k, p in KINDS.items()}
+
+
+def base_sha(text):
+    import hashlib
+
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, s in base_spans(text).items() for a, b in s).encode()).hexdigest()
