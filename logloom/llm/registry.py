@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .line_dedup import op7_line_dedup
+from .lm_scoring import op4_lm_scoring
 from .mixing import op3_mixing
 from .near_dedup import op8_near_dedup
 from .packing import op5_packing
@@ -16,6 +17,7 @@ from .toxicity import op9_toxicity
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_quality": op2_quality,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_packing": op5_packing,
     "op6_private_data": op6_private_data,
     "op7_line_dedup": op7_line_dedup,
