@@ -37,8 +37,8 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
 #: Estimates this low cannot belong to a similarity of 0.75 but for four standard deviations of chance.
 ESTIMATE = 0.60
-#: Members of a bucket compared in one block, and pairs per member and foreign component in the first round.
-BLOCK, FIRST_PAIRS = 2048, 8
+#: Members of a bucket compared in one block, and partners that each has verified in the first round.
+BLOCK, FIRST_PAIRS = 2048, 2
 #: Links of one document verified in one group.
 STAR = 128
 
@@ -188,44 +188,46 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _foreign_pairs(low: int, high: int, percent: int):
-    def pairs_of(block: list) -> tuple[list, list]:
-        """Pairs of a block between different components, the low-th to high-th best of each member and component."""
+    def pairs_of(band: int, block: list) -> tuple[list, list]:
+        """Pairs of a block between different components. Each member ranks its like partners, whatever their
+        component; ranks low to high are given now, and one empty pair if any later rank is still foreign.
+        A pair belongs to the first band that it shares, so other buckets leave it out."""
         ids = np.array([r[0] for r in block])
         comp = np.array([r[1] for r in block])
         size = np.array([r[2] for r in block])
         part = np.array([r[3] for r in block])
         sig = np.frombuffer(b"".join(r[4] for r in block), np.uint16).reshape(len(block), M)
-        a, b = [], []
+        a, b, later = [], [], False
         crossing = len(np.unique(part)) > 1
         for i in range(len(block)):
-            near = np.flatnonzero((ids > ids[i]) & (comp != comp[i]) & (np.minimum(size, size[i]) * 100 >= percent * np.maximum(size, size[i])) & ((part != part[i]) | (not crossing)))
-            if not len(near):
+            near = np.flatnonzero((ids > ids[i]) & (np.minimum(size, size[i]) * 100 >= percent * np.maximum(size, size[i])) & ((part != part[i]) | (not crossing)))
+            if not len(near) or (comp[near] == comp[i]).all():
                 continue
-            alike = (sig[near] == sig[i]).mean(axis=1)
-            near, alike = near[alike >= ESTIMATE], alike[alike >= ESTIMATE]
-            if not len(near):
-                continue
-            order = np.lexsort((ids[near], -alike, comp[near]))
-            c = comp[near][order]
-            rank = np.arange(len(c)) - np.searchsorted(c, c)
-            for j in near[order][(rank >= low) & (rank < high)]:
+            equal = sig[near] == sig[i]
+            alike = equal.mean(axis=1)
+            like = np.flatnonzero(alike >= ESTIMATE)
+            like = like[equal[like].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            ranked = near[like[np.lexsort((ids[near[like]], -alike[like]))]]
+            foreign = comp[ranked] != comp[i]
+            later = later or bool(foreign[high:].any())
+            for j in ranked[low:high][foreign[low:high]]:
                 a.append(int(ids[i]))
                 b.append(int(ids[j]))
-        return a, b
+        return (a + [None], b + [None]) if later else (a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block = None, []
 
         def done() -> pa.RecordBatch:
-            a, b = pairs_of(block) if len(block) > 1 else ([], [])
+            a, b = pairs_of(key[3], block) if len(block) > 1 else ([], [])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for bucket, lo, hi, *row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
-                if key != (bucket, lo, hi):
+            for bucket, lo, hi, band, *row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
+                if key != (bucket, lo, hi, band):
                     if len(block) > 1:
                         yield done()
-                    key, block = (bucket, lo, hi), []
+                    key, block = (bucket, lo, hi, band), []
                 block.append(row)
         if len(block) > 1:
             yield done()
@@ -239,7 +241,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     rows = members.join(mixed.select("bucket", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_c")), "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("_c")).cast("int"))
     # With one part: the block (0, 0). With more: blocks (p, q) of two parts, and (p, p) for pairs within p.
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
-    return rows.select("bucket", F.least("part", "_other").alias("lo"), F.greatest("part", "_other").alias("hi"), "node", "component", "n_shingles", "part")
+    return rows.select("bucket", F.least("part", "_other").alias("lo"), F.greatest("part", "_other").alias("hi"), "band", "node", "component", "n_shingles", "part")
 
 
 def link_documents(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
@@ -250,7 +252,7 @@ def link_documents(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
     heads = materialize(
         some.join(classes, (some["set_id"] == classes["set_id"]) & (some["doc_id"] == classes["head"])).select(F.col("head").alias("node"), "n_shingles", "signature", "bands").dropDuplicates(["node"]), "heads"
     )
-    keys = heads.select("node", F.explode("bands").alias("bucket"))
+    keys = heads.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = keys.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     members = materialize(keys.join(shared, "bucket"), "members")
     stars = materialize(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
@@ -263,20 +265,21 @@ def link_documents(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
     while True:
         named = (
             members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            .join(heads.select("node", "n_shingles"), "node").select("bucket", "node", "component", "n_shingles")
+            .join(heads.select("node", "n_shingles"), "node").select("bucket", "band", "node", "component", "n_shingles")
         )
-        blocks = _blocks(named).join(heads.select("node", "signature"), "node").select("bucket", "lo", "hi", "node", "component", "n_shingles", "part", "signature")
+        blocks = _blocks(named).join(heads.select("node", "signature"), "node").select("bucket", "lo", "hi", "band", "node", "component", "n_shingles", "part", "signature")
         ordered = blocks.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-        more = materialize(ordered.mapInArrow(_foreign_pairs(low, high, similar.percent), "a long, b long").distinct(), "pairs")
-        if more.isEmpty():
+        got = materialize(ordered.mapInArrow(_foreign_pairs(low, high, similar.percent), "a long, b long").distinct(), "pairs")
+        more = got.where("a is not null")
+        if not more.isEmpty():
+            found.append(materialize(verify(more, texts, similar.percent), "links"))
+            every = found[0]
+            for x in found[1:]:
+                every = every.union(x)
+            labels = materialize(components(every), "labels")
+        if got.where("a is null").isEmpty():
             break
-        new = materialize(verify(more, texts, similar.percent), "links")
-        found.append(new)
-        every = found[0]
-        for x in found[1:]:
-            every = every.union(x)
-        labels = materialize(components(every), "labels")
-        low, high = (high, high * 8)
+        low, high = high, high * 8
     # What a class's head reaches holds for all its members.
     own = some.select("doc_id", "set_id").join(classes, "set_id").join(labels, F.col("head") == F.col("node"), "left")
     own = own.select("doc_id", "set_id", F.coalesce("component", "head").alias("component_id")).distinct()
