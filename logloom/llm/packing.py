@@ -14,9 +14,11 @@ own; a null doc_id is kept as null; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+from array import array
 from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -28,8 +30,8 @@ from .common import materialize, read, running_total
 
 CAPACITY = 4096
 END = b"\x01\x00\x00\x00"
-#: Words whose ids a task keeps ready; beyond it the table starts anew.
-CACHE = 300_000
+#: Words whose ids a Python worker keeps ready (about 200 bytes each); beyond it the table starts anew.
+CACHE = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,30 +41,45 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _tokenize(path: str | None, capacity: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Subwords(dict):
+    """Word (bytes) -> its subword ids as little-endian uint32 bytes.
+
+    The tokenizer never joins anything across blanks, so words can be encoded one by one and kept.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path or vocabulary_path())
-        known: dict[bytes, bytes] = {}
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
 
-        def learn(words: set[bytes]) -> None:
-            # The tokenizer never joins anything across blanks, so words can be encoded one by one.
-            new = list(words)
-            for w, e in zip(new, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+    def of(self, words: list[bytes]) -> bytes:
+        if missing := set(words).difference(self):
+            if len(self) > CACHE:
+                self.clear()
+                missing = set(words)
+            new = list(missing)
+            for at in range(0, len(new), 2000):
+                part = new[at : at + 2000]
+                found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+                self.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
+        return b"".join(map(self.__getitem__, words))
 
+
+@lru_cache(maxsize=1)
+def subwords(path: str) -> Subwords:
+    """One table per Python worker, shared by the tasks that it runs one after another."""
+    return Subwords(path)
+
+
+def _tokenize(path: str | None, capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = subwords(path or vocabulary_path())
         for b in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = (text.as_py() or b"").split()
-                if missing := set(words).difference(known):
-                    if len(known) > CACHE:
-                        known.clear()
-                        missing = set(words)
-                    learn(missing)
-                ids = b"".join(map(known.__getitem__, words)) + END
+                ids = known.of((text.as_py() or b"").split()) + END
                 n = len(ids) // 4
                 for k, at in enumerate(range(0, n, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]
