@@ -1,3 +1,4 @@
 """All queries outside the training-data folder."""
 
+from logloom.plans import streaming_queries  # noqa: F401  adds its queries
 from logloom.plans.queries import ORACLE_SQL, QUERIES  # noqa: F401

@@ -1,0 +1,124 @@
+"""Structured Streaming: windowed rates, keyed transaction state with timeouts, ingest without duplicates."""
+
+from __future__ import annotations
+
+import json
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from logloom.functions.protocols import Protocol
+from logloom.operators import tables
+
+TRANSACTION = "corr_id string, application string, status string, waiting_for string, phase_ts string, ack_code string, spawned_at long, first_seen_at long, last_activity long"
+STATE = "application string, phase_ts string, ack_code string, spawned_at long, first_seen_at long, last_activity long, status string"
+
+
+def ingest(records: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Records once each: log_id within the watermark's reach. records: log_id, ts (timestamp), ..."""
+    return records.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["log_id"])
+
+
+def rates(parsed: DataFrame, window: str = "5 minutes") -> DataFrame:
+    """Tumbling counts by fingerprint; parsed: ts (timestamp, with a watermark for append output), fingerprint."""
+    return parsed.groupBy(F.window("ts", window), "fingerprint").agg(F.count(F.lit(1)).alias("n")).select(F.unix_millis("window.start").alias("window_start"), "fingerprint", "n")
+
+
+def advance(state: dict | None, events: pd.DataFrame, phases: tuple[str, ...], failing: Callable[[str], bool], now: int, timeout_ms: int) -> dict:
+    """The next state of one transaction: pure in (state, events, now), used for batches and timers alike.
+
+    Any phase may come first; a phase keeps its first time; the latest code counts; closed transactions stay as they are.
+    """
+    s = dict(state) if state else None
+    for e in events.sort_values(["ts_ms", "log_id"]).itertuples():
+        if s is None:
+            s = {"application": e.application, "phase_ts": {}, "ack_code": None, "spawned_at": int(e.ts_ms), "first_seen_at": now, "last_activity": int(e.ts_ms), "status": "awaiting"}
+        if s["status"] not in ("awaiting", "undecided"):
+            break
+        s["phase_ts"] = {e.type: int(e.ts_ms), **s["phase_ts"]}
+        s["ack_code"] = e.ack_code or s["ack_code"]
+        s["last_activity"] = max(s["last_activity"], int(e.ts_ms))
+    if s and s["status"] in ("awaiting", "undecided"):
+        missing = [p for p in phases if p not in s["phase_ts"]]
+        if s["ack_code"] and failing(s["ack_code"]):
+            s["status"] = "failed"
+        elif not missing:
+            s["status"] = "completed"
+        elif now - s["last_activity"] > timeout_ms and now - s["first_seen_at"] > timeout_ms:
+            s["status"] = "error"
+        else:
+            s["status"] = "undecided" if phases[-1] in s["phase_ts"] else "awaiting"
+    return s or {}
+
+
+def transactions(events: DataFrame, app: Protocol, ok_codes: frozenset[str], clock: Callable[[GroupState], int] | None = None) -> DataFrame:
+    """Keyed state per corr_id: a row whenever a transaction changes or times out.
+
+    Timers run on processing time, so they fire without input; `clock` replaces the time in tests.
+    """
+    timeout = app.timeout_minutes * 60_000
+    now_of = clock or (lambda state: state.getCurrentProcessingTimeMs())
+    phases = app.phases
+    names = [f.split()[0] for f in TRANSACTION.split(", ")]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = now_of(state)
+        before = None
+        if state.exists:
+            before = dict(zip((f.split()[0] for f in STATE.split(", ")), state.get, strict=True))
+            before["phase_ts"] = json.loads(before["phase_ts"])
+        parts = [] if state.hasTimedOut else list(batches)
+        events = pd.concat(parts) if parts else pd.DataFrame(columns=["ts_ms", "log_id", "type", "application", "ack_code"])
+        events["ack_code"] = events["ack_code"].astype(object).where(events["ack_code"].notna(), None)
+        after = advance(before, events, phases, lambda c: c.upper() not in ok_codes, now, timeout)
+        if not after or after == before:
+            return
+        stored = {**after, "phase_ts": json.dumps(after["phase_ts"], sort_keys=True)}
+        state.update(tuple(stored[f.split()[0]] for f in STATE.split(", ")))
+        active = after["status"] in ("awaiting", "undecided")
+        if active:
+            state.setTimeoutDuration(max(1, max(after["last_activity"], after["first_seen_at"]) + timeout - now + 1))
+        waiting = next((p for p in phases if p not in after["phase_ts"]), None) if active else None
+        yield pd.DataFrame([{**stored, "corr_id": key[0], "waiting_for": waiting}])[names]
+
+    keyed = events.where(F.col("application") == app.id).select("corr_id", "application", "type", "ts_ms", "log_id", "ack_code")
+    return keyed.groupBy("corr_id").applyInPandasWithState(step, TRANSACTION, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def report_failures(batch: DataFrame, transactions: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """Findings for closed failures that have none yet: driven by the tables, not by the batch, so it heals itself."""
+    closed = transactions.where(F.col("status").isin("failed", "error")).withColumn("fingerprint", F.concat(F.lit("tx:"), "corr_id"))
+    new = closed.join(anomalies.select("fingerprint"), "fingerprint", "left_anti")
+    return new.select("fingerprint", F.when(F.col("status") == "failed", "high").otherwise("medium").alias("severity"), "corr_id").dropDuplicates(["fingerprint"])
+
+
+def fold_updates(old: DataFrame, updates: DataFrame) -> DataFrame:
+    """Snapshot after a batch of state rows."""
+    return tables.merge(old, updates, "corr_id", keep_old=("application", "first_seen_at"), keep_new=("ack_code",))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='logloom-')}/stream-{uuid.uuid4().hex}"
+
+
+def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all input there is and return what it wrote. Output rows carry their batch number."""
+    spark = stream.sparkSession
+    folder = shared_folder(spark)
+
+    def keep(df: DataFrame, batch: int) -> None:
+        df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/part={batch}")
+
+    q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def read_table_stream(spark: SparkSession, sf_dir: str, table: str, files_per_batch: int = 4) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/{table}.parque[t]")
