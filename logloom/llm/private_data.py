@@ -125,13 +125,17 @@ def revealing_terms(found: DataFrame, docs: DataFrame, rule: Disclosure = Disclo
     holders = materialize(holders, "entities")
     near = seen.withColumn("context", F.xxhash64("near")).join(_few(holders), "entity").select("entity", "n_entity", "doc_id", "text_hash", "context", F.explode(F.array_distinct("near")).alias("term"))
     pairs = near.groupBy("entity", "n_entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id", "text_hash").alias("n_both")).where(F.col("contexts") >= rule.contexts)
-    pairs = materialize(pairs, "pairs")
+    # A term occurs in at least as many documents as it does near entities. Where even that number is too large
+    # for the threshold, the term cannot reveal the entity, so common words need no count over the corpus.
+    total = float(docs.count())
+    nearby = seen.select("doc_id", "text_hash", F.explode(F.array_distinct("near")).alias("term")).groupBy("term").agg(F.count_distinct("doc_id", "text_hash").alias("n_near"))
+    most = F.col("n_both") * F.pow(F.lit(total) / F.col("n_entity"), F.lit(1.0 - rule.threshold)) * (1 + 1e-9)
+    pairs = materialize(pairs.join(nearby, "term").where(F.col("n_near") <= most).drop("n_near"), "pairs")
     terms = pairs.select("term").distinct()
     if pairs.isEmpty():
         return pairs.select("entity", "term")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))).alias("term"))
     spread = words.join(_few(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = float(docs.count())
     pmi = F.log(F.col("n_both") * F.lit(total) / (F.greatest("n_term", "n_both") * F.col("n_entity")))
     information = F.log(F.lit(total) / F.col("n_entity"))
     return pairs.join(spread, "term").where((information > 0) & (pmi / information >= rule.threshold)).select("entity", "term")
@@ -142,6 +146,7 @@ def term_spans(found: DataFrame, docs: DataFrame, revealing: DataFrame) -> DataF
     held = found.select("doc_id", "text_hash", F.explode("entities.entity").alias("entity")).distinct()
     wanted = held.join(_few(revealing), "entity").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    wanted = _few(materialize(wanted, "wanted"))
     hit = texts.join(wanted.withColumnRenamed("doc_id", "_d").withColumnRenamed("text_hash", "_h"), (F.col("text_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     places = F.flatten(F.transform("terms", lambda t: _positions(F.col("text"), F.concat(F.lit(r"(?iu)(?<!\p{L})"), t, F.lit(r"(?!\p{L})")))))
     bare = F.array_sort(F.transform(places, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
