@@ -94,8 +94,14 @@ def _near(text: Column, span: Column) -> Column:
     return F.filter(F.concat(inner, outer), lambda w: F.length(w) >= 3)
 
 
+def _surroundings(text: Column, span: Column) -> Column:
+    """Hash of the characters around a span."""
+    first = F.greatest(span["start"] - REACH, F.lit(0))
+    return F.xxhash64(F.substring(text, first + 1, span["start"] - first), F.substring(text, span["stop"] + 1, F.lit(REACH)))
+
+
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, spans by kind (valid only) and entities: array<struct<entity, near>>."""
+    """doc_id, text_hash, spans by kind (valid only) and entities: array<struct<entity, near, context>>."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     for kind, pattern in PATTERNS.items():
@@ -106,7 +112,7 @@ def find(docs: DataFrame) -> DataFrame:
     entity = {"email": lambda v: F.lower(v), "ip": lambda v: v, "card": _digits, "phone": _digits}
 
     def entities(k: str) -> Column:
-        return F.transform(k, lambda s: F.struct(F.concat(F.lit(k + ":"), entity[k](s["value"])).alias("entity"), _near(F.col("text"), s).alias("near")))
+        return F.transform(k, lambda s: F.struct(F.concat(F.lit(k + ":"), entity[k](s["value"])).alias("entity"), _near(F.col("text"), s).alias("near"), _surroundings(F.col("text"), s).alias("context")))
 
     all_of_them = F.concat(*[entities(k) for k in PATTERNS])
     bare = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias(k)
@@ -123,7 +129,7 @@ def revealing_terms(found: DataFrame, docs: DataFrame, rule: Disclosure = Disclo
     seen = found.select("doc_id", "text_hash", F.explode("entities").alias("x")).select("doc_id", "text_hash", "x.*")
     holders = seen.select("entity", "doc_id", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= rule.contexts)
     holders = materialize(holders, "entities")
-    near = seen.withColumn("context", F.xxhash64("near")).join(_few(holders), "entity").select("entity", "n_entity", "doc_id", "text_hash", "context", F.explode(F.array_distinct("near")).alias("term"))
+    near = seen.join(_few(holders), "entity").select("entity", "n_entity", "doc_id", "text_hash", "context", F.explode(F.array_distinct("near")).alias("term"))
     pairs = near.groupBy("entity", "n_entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id", "text_hash").alias("n_both")).where(F.col("contexts") >= rule.contexts)
     # A term occurs in at least as many documents as it does near entities. Where even that number is too large
     # for the threshold, the term cannot reveal the entity, so common words need no count over the corpus.
