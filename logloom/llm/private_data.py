@@ -141,7 +141,8 @@ def revealing_terms(found: DataFrame, docs: DataFrame, rule: Disclosure = Disclo
     if pairs.isEmpty():
         return pairs.select("entity", "term")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))).alias("term"))
-    spread = words.join(_few(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # counted before the join: tasks send one row per word they met, however common
+    spread = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(_few(terms), "term", "left_semi")
     pmi = F.log(F.col("n_both") * F.lit(total) / (F.greatest("n_term", "n_both") * F.col("n_entity")))
     information = F.log(F.lit(total) / F.col("n_entity"))
     return pairs.join(spread, "term").where((information > 0) & (pmi / information >= rule.threshold)).select("entity", "term")
