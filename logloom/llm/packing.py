@@ -41,8 +41,8 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Subwords(dict):
-    """Word (bytes) -> its subword ids as little-endian uint32 bytes.
+class Subwords:
+    """Subword ids of words (bytes), as little-endian uint32 bytes.
 
     The tokenizer never joins anything across blanks, so words can be encoded one by one and kept.
     """
@@ -51,20 +51,20 @@ class Subwords(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
 
     def of(self, words: list[bytes]) -> bytes:
-        if missing := set(words).difference(self):
-            if len(self) > CACHE:
-                self.clear()
-                missing = set(words)
-            new = list(missing)
-            for at in range(0, len(new), 2000):
-                part = new[at : at + 2000]
+        known = self.known
+        if missing := [w for w in set(words) if w not in known]:
+            if len(known) > CACHE:
+                known.clear()
+                missing = list(set(words))
+            for at in range(0, len(missing), 2000):
+                part = missing[at : at + 2000]
                 found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                self.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
-        return b"".join(map(self.__getitem__, words))
+                known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
+        return b"".join(map(known.__getitem__, words))
 
 
 @lru_cache(maxsize=1)
