@@ -41,5 +41,5 @@ def stream_transactions(spark, sf_dir):
         F.when(k % 13 != 0, event("RESPONSE", "r", ack + (F.col("o_custkey") % 50) * 60_000, F.lit("COMPLETED"))),
     )
     e = o.select(F.concat(F.lit("m"), k).alias("corr_id"), F.lit("xml").alias("application"), F.explode(F.filter(three, lambda x: x.isNotNull())).alias("e")).select("corr_id", "application", "e.*")
-    out = streaming.run_once(streaming.transactions(e, XML, OK_CODES), "update")
+    out = streaming.run_once(streaming.transactions(e, XML, OK_CODES), "update", timers=True)
     return out.groupBy("corr_id").agg(F.max_by(F.struct("status", "ack_code", "spawned_at"), "batch").alias("s")).select("corr_id", "s.*")

@@ -106,16 +106,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='logloom-')}/stream-{uuid.uuid4().hex}"
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all input there is and return what it wrote. Output rows carry their batch number."""
+def run_once(stream: DataFrame, mode: str = "append", timers: bool = False) -> DataFrame:
+    """Run a stream over all input there is and return what it wrote. Output rows carry their batch number.
+
+    A stream with processing-time timers never runs out of batches, so it is stopped once the input is through.
+    """
     spark = stream.sparkSession
     folder = shared_folder(spark)
 
     def keep(df: DataFrame, batch: int) -> None:
         df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/part={batch}")
 
-    q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep).start()
-    q.awaitTermination()
+    trigger = {"processingTime": "1 second"} if timers else {"availableNow": True}
+    q = stream.writeStream.outputMode(mode).trigger(**trigger).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep).start()
+    if timers:
+        q.processAllAvailable()
+        q.stop()
+    else:
+        q.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
