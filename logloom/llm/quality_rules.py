@@ -156,10 +156,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> Da
 
 def filter_documents(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """The rows of docs that the rules keep, with their own columns."""
-    probe = materialize(measure(docs.select("doc_id", "text")).drop("text"), "rules")
-    cutoffs = calibrate(probe, labels, risk)
-    own = docs.select(F.struct("*").alias("_row"), F.col("text"))
-    return judge(measure(own), cutoffs).where("kept").select("_row.*")
+    # Written out with its counts first: a filter on `kept` must not be pushed below the counting.
+    own = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    measured = materialize(measure(own).drop("text"), "rules")
+    return judge(measured, calibrate(measured, labels, risk)).where("kept").select("_row.*")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
