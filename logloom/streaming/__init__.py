@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -120,7 +121,10 @@ def run_once(stream: DataFrame, mode: str = "append", timers: bool = False) -> D
     trigger = {"processingTime": "1 second"} if timers else {"availableNow": True}
     q = stream.writeStream.outputMode(mode).trigger(**trigger).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep).start()
     if timers:
-        q.processAllAvailable()
+        while q.isActive and not (q.lastProgress is not None and q.lastProgress.numInputRows == 0):
+            time.sleep(0.2)
+        if q.exception() is not None:
+            raise q.exception()
         q.stop()
     else:
         q.awaitTermination()
