@@ -202,6 +202,51 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(empty(spark, "doc_id long, text string")).count() == 0
 
 
+def edited_lines():
+    """(line, edited line) by name: words replaced, letters replaced or dropped, at many lengths."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choices(letters, k=rng.randrange(2, 9)))
+    pairs = []
+    for n in (3, 4, 6, 8, 10, 15, 20, 30, 50, 80):
+        for _ in range(12):
+            ws = [word() for _ in range(n)]
+            other = list(ws)
+            other[rng.randrange(n)] = word()
+            pairs.append((" ".join(ws), " ".join(other)))
+            chars = list(" ".join(ws))
+            for i in rng.sample([i for i, c in enumerate(chars) if c != " "], max(1, len(chars) // 12)):
+                chars[i] = rng.choice(["", rng.choice(letters)])
+            pairs.append((" ".join(ws), "".join(chars)))
+    return pairs
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_line_links_against_brute_force(spark, monkeypatch, large):
+    if large:  # every bucket by the path of the large ones, in several blocks
+        monkeypatch.setattr(line_dedup, "SMALL", 1)
+        monkeypatch.setattr(line_dedup, "BLOCK", 2)
+    texts = [x for pair in edited_lines() for x in pair]
+    lines = [b" ".join(ws) for ws in (line_dedup.normalise(x.encode()) for x in texts)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    removed = {r.doc_id for r in line_dedup.dedup_lines(df).where("n_removed = 1").collect()}
+    top = list(range(len(lines)))
+    for j in range(len(lines)):
+        for i in range(j):
+            if line_dedup.similar(lines[i], lines[j], 80):
+                old, new = sorted((top[i], top[j]), reverse=True)
+                top = [new if x == old else x for x in top]
+    want = {i for i, x in enumerate(top) if x != i}
+    assert len(want) > 150 and removed <= want and len(removed) >= 0.98 * len(want)
+
+
+def test_one_word_edit_is_linked(spark):
+    for n in (10, 20, 30, 50):
+        line = " ".join(f"{chr(97 + i % 26)}token{chr(97 + i // 26)}" for i in range(n))
+        df = spark.createDataFrame([(1, line), (2, line.replace("ctokena", "changed"))], "doc_id long, text string")
+        assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 1}
+
+
 def test_edit_distance():
     rng = random.Random(4)
     for _ in range(200):
