@@ -2,10 +2,10 @@
 
 A document's set holds the distinct 5-word shingles of its lower-cased (A-Z) text; with fewer words, the
 whole sequence is the only shingle. Two documents are linked if their sets' Jaccard similarity is at least
-0.75. Documents with equal sets form one class and only its smallest id goes on, so copies cost one row.
+0.75. Documents with equal sets form one class and only its first row goes on, so copies cost one row.
 
 Candidates share a band of 4 of the 128 signature values. In each bucket all members are first compared
-with the bucket's smallest id (a star, linear in the bucket). Members still in different components after
+with the bucket's smallest class (a star, linear in the bucket). Members still in different components after
 that are compared by signature, bucket by bucket, in blocks of a fixed size; pairs whose estimate is close
 enough are verified best first, in rounds, until none is left between different components. So a bucket of
 near copies never emits all its pairs, and no link between components is skipped.
@@ -109,11 +109,11 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, set_id binary, signature binary, bands array<long>"
+SIGNED = "doc_id long, text_hash long, n_shingles long, set_id binary, signature binary, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(ids: list, sets: list) -> pa.RecordBatch:
+    def rows(ids: list, hashes: list, sets: list) -> pa.RecordBatch:
         some = [k for k, s in enumerate(sets) if len(s)]
         sig = super_minhash([sets[k] for k in some])
         keys, short = band_keys(sig) if some else np.empty((0, BANDS), np.int64), (sig & np.uint64(0xFFFF)).astype(np.uint16)
@@ -121,29 +121,32 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()),
+                pa.array(hashes, pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 pa.array([short[at[k]].tobytes() if k in at else None for k in range(len(sets))], pa.binary()),
                 pa.array([keys[at[k]] if k in at else None for k in range(len(sets))], pa.list_(pa.int64())),
             ],
-            names=["doc_id", "n_shingles", "set_id", "signature", "bands"],
+            names=["doc_id", "text_hash", "n_shingles", "set_id", "signature", "bands"],
         )
 
-    ids, sets, total = [], [], 0
+    ids, hashes, sets, total = [], [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             ids.append(doc_id)
+            hashes.append(text_hash)
             sets.append(shingles(text.as_py()))
             total += len(sets[-1])
             if total >= 60_000 or len(ids) >= 2000:
-                yield rows(ids, sets)
-                ids, sets, total = [], [], 0
+                yield rows(ids, hashes, sets)
+                ids, hashes, sets, total = [], [], [], 0
     if ids:
-        yield rows(ids, sets)
+        yield rows(ids, hashes, sets)
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_sign, SIGNED)
+    text = F.col("text").cast("binary")
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(_sign, SIGNED)
 
 
 def _verify_stars(percent: int):
@@ -173,7 +176,7 @@ def _verify_stars(percent: int):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. b is the star's hub; texts: doc_id, text (binary).
+    """The pairs (a, b) whose full sets are similar. b is the star's hub; texts: doc_id (the node), text (binary).
 
     A hub's members are spread over groups of about STAR; the hub's text goes once to each. Tasks read
     the sorted rows as a stream and hold one hub at a time.
@@ -248,17 +251,21 @@ def link_documents(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     signed = materialize(sign(docs), "signed")
     some = signed.where("doc_id is not null and set_id is not null")
-    classes = materialize(some.groupBy("set_id").agg(F.min("doc_id").alias("head")), "classes")
+    # A class is a node by the hash of its set, since one document may head several by its versions.
+    first = F.min(F.struct(F.col("doc_id").alias("head"), F.col("text_hash").alias("head_hash"))).alias("first")
+    classes = materialize(some.groupBy("set_id").agg(first).select("set_id", F.xxhash64("set_id").alias("node"), "first.*"), "classes")
     heads = materialize(
-        some.join(classes, (some["set_id"] == classes["set_id"]) & (some["doc_id"] == classes["head"])).select(F.col("head").alias("node"), "n_shingles", "signature", "bands").dropDuplicates(["node"]), "heads"
+        some.join(classes, (some["set_id"] == classes["set_id"]) & (some["doc_id"] == classes["head"]) & (some["text_hash"] == classes["head_hash"])).select("node", "n_shingles", "signature", "bands").dropDuplicates(["node"]), "heads"
     )
     keys = heads.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = keys.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     members = materialize(keys.join(shared, "bucket"), "members")
     stars = materialize(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
     # Only texts of documents in shared buckets are read again.
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, "doc_id", "left_semi")
+    wanted = members.select("node").distinct().join(classes, "node").select("node", "head", "head_hash")
+    text = F.col("text").cast("binary")
+    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_hash")).join(wanted, (F.col("doc_id") == F.col("head")) & (F.col("_hash") == F.col("head_hash")))
+    texts = texts.select(F.col("node").alias("doc_id"), "text")
     links = materialize(verify(stars, texts, similar.percent), "links")
     labels = materialize(components(links), "labels")
     low, high, found = 0, FIRST_PAIRS, [links]
@@ -280,9 +287,10 @@ def link_documents(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
         if got.where("a is null").isEmpty():
             break
         low, high = high, high * 8
-    # What a class's head reaches holds for all its members.
-    own = some.select("doc_id", "set_id").join(classes, "set_id").join(labels, F.col("head") == F.col("node"), "left")
-    own = own.select("doc_id", "set_id", F.coalesce("component", "head").alias("component_id")).distinct()
+    # What a class reaches holds for all its members; a component goes by the smallest document of its classes.
+    smallest = labels.join(classes, "node").groupBy("component").agg(F.min("head").alias("smallest"))
+    reached = classes.join(labels.join(smallest, "component"), "node", "left").select("set_id", F.coalesce("smallest", "head").alias("component_id"))
+    own = some.select("doc_id", "set_id").join(reached, "set_id").select("doc_id", "component_id").distinct()
     versions = own.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(versions, "doc_id", "left")
     cid = F.coalesce("component_id", "doc_id")

@@ -173,6 +173,16 @@ def test_near_dedup(spark, docs, plain):
     assert near_dedup.link_documents(empty(spark, DOCS)).count() == 0
 
 
+def test_near_dedup_with_two_texts_under_one_id(spark):
+    rng = random.Random(9)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(5, a), (5, b), (5, c), (9, b + " more"), (11, a + " more"), (12, c + " more"), (20, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.link_documents(df).toPandas()
+    assert len(got) == len(rows) and got[["doc_id", "component_id"]].drop_duplicates().sort_values("doc_id").values.tolist() == [[5, 5], [9, 5], [11, 5], [12, 5], [20, 20]]
+    assert set(got[got.kept].doc_id) == {5, 20}
+
+
 def test_super_minhash_estimates():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 900).astype(np.uint64)
