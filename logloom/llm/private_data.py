@@ -1,7 +1,8 @@
 """Personal data: patterns, then information-theoretic sanitisation (native: DataFrame functions only).
 
 E-mail addresses, IPv4 addresses, card and phone numbers are found by fixed patterns (the base). Their values
-are the protected entities. A term next to an entity may reveal it: from corpus counts, the disclosure of
+are the protected entities. A term (a run of letters and digits) that occurs with an entity,
+anywhere in a text, may reveal it: from corpus counts, the disclosure of
 entity e by term t is PMI(t; e) / IC(e), the share of e's information (-log p(e)) that t gives away; 1 means
 that t occurs with e only. Terms over the threshold are removed from all documents that hold e, as further
 spans; base spans stay. Only pairs seen in at least `contexts` different surroundings count, so copies of
@@ -29,8 +30,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Characters read on each side of an entity, and words of them that make its surroundings.
-REACH, NEAR = 120, 8
+#: Characters on each side of an entity that make its surroundings.
+REACH = 120
+#: What parts terms.
+BETWEEN = r"[^\p{L}\p{N}]+"
 #: Up to so many candidate terms (or pairs) go by broadcast, more by shuffle.
 SMALL = 20_000
 
@@ -83,15 +86,9 @@ def _spans_text(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["stop"]))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Letter words around a span, lower-cased: up to NEAR on each side."""
-    first = F.greatest(span["start"] - REACH, F.lit(0))
-    before = F.split(F.lower(F.substring(text, first + 1, span["start"] - first)), r"[^\p{L}]+")
-    after = F.split(F.lower(F.substring(text, span["stop"] + 1, F.lit(REACH))), r"[^\p{L}]+")
-    # The outermost pieces may be cut words.
-    inner = F.slice(F.reverse(F.slice(before, 2, F.greatest(F.size(before) - 1, F.lit(0)))), 1, NEAR + 1)
-    outer = F.slice(F.slice(after, 1, F.greatest(F.size(after) - 1, F.lit(0))), 1, NEAR + 1)
-    return F.filter(F.concat(inner, outer), lambda w: F.length(w) >= 3)
+def _terms(text: Column) -> Column:
+    """Distinct terms of a text, lower-cased."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN)), "")
 
 
 def _surroundings(text: Column, span: Column) -> Column:
@@ -101,7 +98,7 @@ def _surroundings(text: Column, span: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, spans by kind (valid only) and entities: array<struct<entity, near, context>>."""
+    """doc_id, text_hash, spans by kind (valid only) and entities: array<struct<entity, context>>."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     for kind, pattern in PATTERNS.items():
@@ -112,7 +109,7 @@ def find(docs: DataFrame) -> DataFrame:
     entity = {"email": lambda v: F.lower(v), "ip": lambda v: v, "card": _digits, "phone": _digits}
 
     def entities(k: str) -> Column:
-        return F.transform(k, lambda s: F.struct(F.concat(F.lit(k + ":"), entity[k](s["value"])).alias("entity"), _near(F.col("text"), s).alias("near"), _surroundings(F.col("text"), s).alias("context")))
+        return F.transform(k, lambda s: F.struct(F.concat(F.lit(k + ":"), entity[k](s["value"])).alias("entity"), _surroundings(F.col("text"), s).alias("context")))
 
     all_of_them = F.concat(*[entities(k) for k in PATTERNS])
     bare = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias(k)
@@ -129,18 +126,25 @@ def revealing_terms(found: DataFrame, docs: DataFrame, rule: Disclosure = Disclo
     seen = found.select("doc_id", "text_hash", F.explode("entities").alias("x")).select("doc_id", "text_hash", "x.*")
     holders = seen.select("entity", "doc_id", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= rule.contexts)
     holders = materialize(holders, "entities")
-    near = seen.join(_few(holders), "entity").select("entity", "n_entity", "doc_id", "text_hash", "context", F.explode(F.array_distinct("near")).alias("term"))
-    pairs = near.groupBy("entity", "n_entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id", "text_hash").alias("n_both")).where(F.col("contexts") >= rule.contexts)
-    # A term occurs in at least as many documents as it does near entities. Where even that number is too large
+    held = materialize(seen.join(_few(holders), "entity").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "entity", "n_entity", "context").distinct(), "held")
+    keys = held.select("_d", "_h").distinct()
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    same = (F.col("text_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    # Terms of the whole texts that hold these entities, each text once.
+    bags = texts.join(_few(keys), same).select("doc_id", "text_hash", _terms(F.col("text")).alias("bag")).dropDuplicates(["doc_id", "text_hash"])
+    bags = materialize(bags, "bags")
+    both = bags.join(held, same).select("entity", "n_entity", "doc_id", "text_hash", "context", F.explode("bag").alias("term"))
+    pairs = both.groupBy("entity", "n_entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id", "text_hash").alias("n_both")).where(F.col("contexts") >= rule.contexts)
+    # A term occurs in at least as many documents as hold it and an entity. Where even that number is too large
     # for the threshold, the term cannot reveal the entity, so common words need no count over the corpus.
     total = float(docs.count())
-    nearby = seen.select("doc_id", "text_hash", F.explode(F.array_distinct("near")).alias("term")).groupBy("term").agg(F.count_distinct("doc_id", "text_hash").alias("n_near"))
+    among = bags.select(F.explode("bag").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_among"))
     most = F.col("n_both") * F.pow(F.lit(total) / F.col("n_entity"), F.lit(1.0 - rule.threshold)) * (1 + 1e-9)
-    pairs = materialize(pairs.join(nearby, "term").where(F.col("n_near") <= most).drop("n_near"), "pairs")
+    pairs = materialize(pairs.join(among, "term").where(F.col("n_among") <= most).drop("n_among"), "pairs")
     terms = pairs.select("term").distinct()
     if pairs.isEmpty():
         return pairs.select("entity", "term")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))).alias("term"))
+    words = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
     # counted before the join: tasks send one row per word they met, however common
     spread = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(_few(terms), "term", "left_semi")
     pmi = F.log(F.col("n_both") * F.lit(total) / (F.greatest("n_term", "n_both") * F.col("n_entity")))
@@ -155,7 +159,7 @@ def term_spans(found: DataFrame, docs: DataFrame, revealing: DataFrame) -> DataF
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     wanted = _few(materialize(wanted, "wanted"))
     hit = texts.join(wanted.withColumnRenamed("doc_id", "_d").withColumnRenamed("text_hash", "_h"), (F.col("text_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    places = F.flatten(F.transform("terms", lambda t: _positions(F.col("text"), F.concat(F.lit(r"(?iu)(?<!\p{L})"), t, F.lit(r"(?!\p{L})")))))
+    places = F.flatten(F.transform("terms", lambda t: _positions(F.col("text"), F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), t, F.lit(r"(?![\p{L}\p{N}])")))))
     bare = F.array_sort(F.transform(places, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
     return hit.select("_d", "_h", bare.alias("terms")).dropDuplicates(["_d", "_h"])
 

@@ -295,6 +295,17 @@ def test_revealing_terms(spark):
     assert not any(r.terms for r in private_data.all_spans(copies).collect())
 
 
+def test_revealing_terms_far_from_the_entity(spark):
+    rng = random.Random(2)
+    names = ("Zebulon", "李雷", "k7")
+    rows = [(i, f"Dear {' and '.join(names)}, {words(rng, 70)} zeb@mail.example.com") for i in range(6)] + [(i, words(rng, 60)) for i in range(6, 80)]
+    got = {r.doc_id: r.terms for r in private_data.all_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(6):
+        found = {rows[i][1][s.start : s.stop] for s in got[i]}
+        assert found >= set(names) and "mail" not in found
+    assert not any(got[i] for i in range(6, 80))
+
+
 def test_packing(spark, docs, plain):
     from tokenizers import Tokenizer
 
