@@ -6,9 +6,10 @@ whole sequence is the only shingle. Two documents are linked if their sets' Jacc
 
 Candidates share a band of 4 of the 128 signature values. In each bucket all members are first compared
 with the bucket's smallest class (a star, linear in the bucket). Members still in different components after
-that are compared by signature, bucket by bucket, in blocks of a fixed size; pairs whose estimate is close
-enough are verified best first, in rounds, until none is left between different components. So a bucket of
-near copies never emits all its pairs, and no link between components is skipped.
+that are compared by signature, bucket by bucket, in blocks of a fixed size. Pairs that are alike by signature
+are compared once more by their 256 least shingle hashes, which decide sets of that size and sharpen the estimate of larger
+ones; what is close enough then is verified best first, in rounds, until none is left between different components. So a
+bucket of near copies never emits all its pairs, and no link between components is skipped.
 
 Defined results: documents without words have no shingles, link with nothing and are kept; rows that repeat
 a doc_id are versions of one document, which takes the smallest component of its versions; null ids form components of their own and are
@@ -35,8 +36,10 @@ ROWS = 4
 BANDS = M // ROWS
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
-#: Estimates this low cannot belong to a similarity of 0.75 but for four standard deviations of chance.
-ESTIMATE = 0.60
+#: Estimates this many standard deviations below the similarity asked for are taken for less than it.
+DEVIATIONS = 4
+#: Least shingle hashes of a set that go with its signature: the whole set where it has no more.
+LEAST = 256
 #: Members of a bucket compared in one block, and partners that each has verified in the first round.
 BLOCK, FIRST_PAIRS = 2048, 2
 #: Links of one document verified in one group.
@@ -109,7 +112,24 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-SIGNED = "doc_id long, text_hash long, n_shingles long, set_id binary, signature binary, bands array<long>"
+def lowest(share: float, values: int) -> float:
+    """The least share of equal values that a pair of the given similarity shows, but for DEVIATIONS."""
+    return share - DEVIATIONS * (share * (1 - share) / values) ** 0.5
+
+
+def may_be_similar(share: float, alike: float, a: np.ndarray, b: np.ndarray, sizes: tuple[int, int]) -> bool:
+    """Whether sets with these least hashes (sorted), of which `alike` of the signature agree, may have that similarity."""
+    either = np.union1d(a, b)
+    whole = max(sizes) <= LEAST
+    either = either if whole else either[:LEAST]
+    both = np.intersect1d(a, b, assume_unique=True)
+    k, n = len(either), int(np.searchsorted(both, either[-1], side="right"))
+    if whole:
+        return n >= share * k - 1  # equal upper halves of different hashes may be off by one
+    return (n + alike * M) / (k + M) >= lowest(share, k + M)
+
+
+SIGNED = "doc_id long, text_hash long, n_shingles long, set_id binary, signature binary, least binary, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +145,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 pa.array([short[at[k]].tobytes() if k in at else None for k in range(len(sets))], pa.binary()),
+                pa.array([(s[:LEAST] >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary()),
                 pa.array([keys[at[k]] if k in at else None for k in range(len(sets))], pa.list_(pa.int64())),
             ],
-            names=["doc_id", "text_hash", "n_shingles", "set_id", "signature", "bands"],
+            names=["doc_id", "text_hash", "n_shingles", "set_id", "signature", "least", "bands"],
         )
 
     ids, hashes, sets, total = [], [], [], 0
@@ -190,16 +211,20 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_verify_stars(percent), "a long, b long")
 
 
-def _foreign_pairs(low: int, high: int, percent: int):
+def _foreign_pairs(high: int, percent: int):
+    share = percent / 100
+    bar = lowest(share, M)
+
     def pairs_of(band: int, block: list) -> tuple[list, list]:
-        """Pairs of a block between different components. Each member ranks its like partners, whatever their
-        component; ranks low to high are given now, and one empty pair if any later rank is still foreign.
-        A pair belongs to the first band that it shares, so other buckets leave it out."""
+        """Pairs of a block between different components. Each member ranks its like partners in others; ranks up
+        to high are given now, and one empty pair if there are more. A pair belongs to the first band that it
+        shares, so other buckets leave it out."""
         ids = np.array([r[0] for r in block])
         comp = np.array([r[1] for r in block])
         size = np.array([r[2] for r in block])
         part = np.array([r[3] for r in block])
         sig = np.frombuffer(b"".join(r[4] for r in block), np.uint16).reshape(len(block), M)
+        least = [np.unique(np.frombuffer(r[5], "<u4")) for r in block]
         a, b, later = [], [], False
         crossing = len(np.unique(part)) > 1
         for i in range(len(block)):
@@ -208,12 +233,12 @@ def _foreign_pairs(low: int, high: int, percent: int):
                 continue
             equal = sig[near] == sig[i]
             alike = equal.mean(axis=1)
-            like = np.flatnonzero(alike >= ESTIMATE)
+            like = np.flatnonzero((alike >= bar) & (comp[near] != comp[i]))
             like = like[equal[like].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            like = np.array([x for x in like if may_be_similar(share, alike[x], least[i], least[near[x]], (size[i], size[near[x]]))], int)
             ranked = near[like[np.lexsort((ids[near[like]], -alike[like]))]]
-            foreign = comp[ranked] != comp[i]
-            later = later or bool(foreign[high:].any())
-            for j in ranked[low:high][foreign[low:high]]:
+            later = later or len(ranked) > high
+            for j in ranked[:high]:
                 a.append(int(ids[i]))
                 b.append(int(ids[j]))
         return (a + [None], b + [None]) if later else (a, b)
@@ -226,7 +251,7 @@ def _foreign_pairs(low: int, high: int, percent: int):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for bucket, lo, hi, band, *row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
+            for bucket, lo, hi, band, *row in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
                 if key != (bucket, lo, hi, band):
                     if len(block) > 1:
                         yield done()
@@ -255,7 +280,7 @@ def link_documents(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").alias("head"), F.col("text_hash").alias("head_hash"))).alias("first")
     classes = materialize(some.groupBy("set_id").agg(first).select("set_id", F.xxhash64("set_id").alias("node"), "first.*"), "classes")
     heads = materialize(
-        some.join(classes, (some["set_id"] == classes["set_id"]) & (some["doc_id"] == classes["head"]) & (some["text_hash"] == classes["head_hash"])).select("node", "n_shingles", "signature", "bands").dropDuplicates(["node"]), "heads"
+        some.join(classes, (some["set_id"] == classes["set_id"]) & (some["doc_id"] == classes["head"]) & (some["text_hash"] == classes["head_hash"])).select("node", "n_shingles", "signature", "least", "bands").dropDuplicates(["node"]), "heads"
     )
     keys = heads.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = keys.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
@@ -268,15 +293,15 @@ def link_documents(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
     texts = texts.select(F.col("node").alias("doc_id"), "text")
     links = materialize(verify(stars, texts, similar.percent), "links")
     labels = materialize(components(links), "labels")
-    low, high, found = 0, FIRST_PAIRS, [links]
+    high, found = FIRST_PAIRS, [links]
     while True:
         named = (
             members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
             .join(heads.select("node", "n_shingles"), "node").select("bucket", "band", "node", "component", "n_shingles")
         )
-        blocks = _blocks(named).join(heads.select("node", "signature"), "node").select("bucket", "lo", "hi", "band", "node", "component", "n_shingles", "part", "signature")
+        blocks = _blocks(named).join(heads.select("node", "signature", "least"), "node").select("bucket", "lo", "hi", "band", "node", "component", "n_shingles", "part", "signature", "least")
         ordered = blocks.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-        got = materialize(ordered.mapInArrow(_foreign_pairs(low, high, similar.percent), "a long, b long").distinct(), "pairs")
+        got = materialize(ordered.mapInArrow(_foreign_pairs(high, similar.percent), "a long, b long").distinct(), "pairs")
         more = got.where("a is not null")
         if not more.isEmpty():
             found.append(materialize(verify(more, texts, similar.percent), "links"))
@@ -286,7 +311,7 @@ def link_documents(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
             labels = materialize(components(every), "labels")
         if got.where("a is null").isEmpty():
             break
-        low, high = high, high * 8
+        high *= 8
     # What a class reaches holds for all its members; a component goes by the smallest document of its classes.
     smallest = labels.join(classes, "node").groupBy("component").agg(F.min("head").alias("smallest"))
     reached = classes.join(labels.join(smallest, "component"), "node", "left").select("set_id", F.coalesce("smallest", "head").alias("component_id"))
