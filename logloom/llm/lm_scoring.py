@@ -214,7 +214,7 @@ def _ids(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = subwords(path or vocabulary_path())
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([known.of((t.as_py() or b"").split()) for t in b.column(1)], pa.binary())], names=["doc", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ids for _, ids in known.each(t.as_py() or b"" for t in b.column(1))], pa.binary())], names=["doc", "ids"])
 
     return run
 
@@ -377,9 +377,8 @@ def _score(model, words, path: str | None):
             return out
 
         for b in batches:
-            for row, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ws = (t.as_py() or b"").split()
-                x, y = windows_of(np.append(slots[np.frombuffer(known.of(ws), "<u4")], END))
+            for row, (ws, ids) in zip(b.column(0).to_pylist(), known.each(t.as_py() or b"" for t in b.column(1)), strict=True):
+                x, y = windows_of(np.append(slots[np.frombuffer(ids, "<u4")], END))
                 ws.append(b"")
                 base = np.fromiter(map(frequent.get, ws, repeat(nan)), np.float64, len(ws))
                 lost = np.flatnonzero(np.isnan(base))

@@ -14,10 +14,11 @@ own; a null doc_id is kept as null; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from bisect import bisect_right, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from zlib import crc32
 
@@ -30,8 +31,13 @@ from .common import materialize, read, running_total
 
 CAPACITY = 4096
 END = b"\x01\x00\x00\x00"
-#: Words whose ids a Python worker keeps ready (about 200 bytes each); beyond it the table starts anew.
-CACHE = 1_000_000
+#: Words whose ids a Python worker takes up (about 200 bytes each) before it lets go of those it has not met since it last did so.
+CACHE = 500_000
+#: Words that the tokenizer neither splits nor folds but for their case, and how it writes the bytes that are not printable.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+WRITTEN = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174))}
+#: Bytes of texts whose new words are encoded together.
+TOGETHER = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -44,7 +50,8 @@ def vocabulary_path() -> str:
 class Subwords:
     """Subword ids of words (bytes), as little-endian uint32 bytes.
 
-    The tokenizer never joins anything across blanks, so words can be encoded one by one and kept.
+    The tokenizer never joins anything across blanks, so words can be encoded one by one and kept. Nor does it join a
+    letter or digit with a comma or full stop after it, and it lowers A-Z, so few forms of a word are encoded.
     """
 
     def __init__(self, path: str):
@@ -52,19 +59,64 @@ class Subwords:
         from tokenizers import Tokenizer
 
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-
-    def of(self, words: list[bytes]) -> bytes:
-        known = self.known
-        if missing := [w for w in set(words) if w not in known]:
-            if len(known) > CACHE:
-                known.clear()
-                missing = list(set(words))
-            for at in range(0, len(missing), 2000):
-                part = missing[at : at + 2000]
-                found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
-        return b"".join(map(known.__getitem__, words))
+        self.model = self.tokenizer.model
+        self.marks = {m: self._encode([m.decode()])[0] for m in (b"", b",", b".")}
+        probes = ["word", "Né", "straße", "overthrown", "àÿx"]
+        self.direct = [self._plain(w) for w in probes] == self._encode(probes)
+
+    def _plain(self, word: str) -> bytes:
+        """A plain word goes to the merging model as it is, without the steps before it."""
+        written = word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(WRITTEN)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def take_up(self, words: set[bytes]) -> None:
+        """Make the ids of all these words known."""
+        if len(self.known) > CACHE:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        missing = words.difference(known)
+        if before:
+            known.update((w, before[w]) for w in missing if w in before)
+            missing.difference_update(before)
+        forms = []
+        for w in missing:
+            mark = w[-1:] if w[-1:] in (b",", b".") and w[-2:-1].isalnum() else b""
+            forms.append((w, (w[:-1] if mark else w).lower(), mark))
+        other: list[tuple[bytes, str]] = []
+        for s in {s for _, s, _ in forms}.difference(known):
+            word = s.decode("utf-8", "replace")
+            if self.direct and PLAIN.fullmatch(word):
+                known[s] = self._plain(word)
+            else:
+                other.append((s, word))
+        for at in range(0, len(other), 5000):
+            stems, texts = zip(*other[at : at + 5000], strict=True)
+            known.update(zip(stems, self._encode(list(texts)), strict=True))
+        known.update((w, known[s] + self.marks[m]) for w, s, m in forms)
+
+    def each(self, texts: Iterable[bytes]) -> Iterator[tuple[list[bytes], bytes]]:
+        """The words of each text and their ids; new words of many texts are encoded together."""
+        group: list[bytes] = []
+        size = 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[bytes]) -> Iterator[tuple[list[bytes], bytes]]:
+        self.take_up(set(b" ".join(texts).split()))
+        of = self.known.__getitem__
+        for text in texts:
+            words = text.split()
+            yield words, b"".join(map(of, words))
 
 
 @lru_cache(maxsize=1)
@@ -78,8 +130,8 @@ def _tokenize(path: str | None, capacity: int):
         known = subwords(path or vocabulary_path())
         for b in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = known.of((text.as_py() or b"").split()) + END
+            for doc_id, (_, ids) in zip(b.column(0).to_pylist(), known.each(text.as_py() or b"" for text in b.column(1)), strict=True):
+                ids += END
                 n = len(ids) // 4
                 for k, at in enumerate(range(0, n, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]
