@@ -145,6 +145,24 @@ def test_mixing(spark, docs, plain):
     assert mixing.mix_documents(empty(spark, DOCS)).count() == 0
 
 
+def test_mixing_cuts_the_sorted_line(spark):
+    """The taken words are the first of all words in the order of finish times, by a plain walk; another order takes others."""
+    rng = random.Random(4)
+    rows = [(i, words(rng, rng.randrange(1, 40)), ["a", "b", "c"][min(i % 7, 2)]) for i in range(90)] + [(200, words(rng, 700), "b"), (201, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = df.select("doc_id", "source", F.size(mixing.words(F.col("text"))).cast("long").alias("size"), F.col("doc_id").alias("_row"))
+    targets = mixing.source_targets(sizes)
+    line = mixing.timeline(sizes, targets).cache()
+    total = int(1.5 * sizes.agg(F.sum("size")).first()[0])
+    got = {(r._row, r["pass"]): r.sent for r in mixing.truncate(line, total).collect()}
+    every = [((r.begin + k) / r.target, r.source, r._key, r.doc_id, r["pass"]) for r in line.collect() for k in range(1, r.size + 1)]
+    want = Counter((d, p) for _, _, _, d, p in sorted(every)[:total])
+    assert got == want
+    backwards = Counter((d, p) for _, _, _, d, p in sorted(every, key=lambda x: (-ord(x[1]), x[0]))[:total])
+    assert got != backwards
+    assert sum(v for v in mixing.truncate(line, 10**9).toPandas().sent) == len(every)
+
+
 def jaccard_components(plain):
     sets = {}
     for r in plain.itertuples():
