@@ -54,6 +54,11 @@ def discard(*frames: DataFrame) -> None:
             hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """df, for a broadcast where it has at most `most` rows; otherwise as it is, for a shuffle. df should be materialized."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null gives none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")

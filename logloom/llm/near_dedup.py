@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, read
+from .common import few, materialize, read
 from .graph import components
 
 SHINGLE = 5
@@ -44,6 +44,8 @@ LEAST = 256
 BLOCK, FIRST_PAIRS = 2048, 2
 #: Links of one document verified in one group.
 STAR = 128
+#: Up to so many nodes (a few numbers each) go by broadcast to where texts and signatures are read, more by shuffle.
+BROADCAST_NODES = 200_000
 
 
 @dataclass(frozen=True)
@@ -215,10 +217,10 @@ def _foreign_pairs(high: int, percent: int):
     share = percent / 100
     bar = lowest(share, M)
 
-    def pairs_of(band: int, block: list) -> tuple[list, list]:
-        """Pairs of a block between different components. Each member ranks its like partners in others; ranks up
-        to high are given now, and one empty pair if there are more. A pair belongs to the first band that it
-        shares, so other buckets leave it out."""
+    def pairs_of(band: int, block: list) -> tuple[list, list, bool]:
+        """Pairs of a block between different components, and whether there are more. Each member ranks its like
+        partners in others; ranks up to high are given now. A pair belongs to the first band that it shares, so
+        other buckets leave it out."""
         ids = np.array([r[0] for r in block])
         comp = np.array([r[1] for r in block])
         size = np.array([r[2] for r in block])
@@ -241,14 +243,17 @@ def _foreign_pairs(high: int, percent: int):
             for j in ranked[:high]:
                 a.append(int(ids[i]))
                 b.append(int(ids[j]))
-        return (a + [None], b + [None]) if later else (a, b)
+        return a, b, later
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block = None, []
 
         def done() -> pa.RecordBatch:
-            a, b = pairs_of(key[3], block) if len(block) > 1 else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b, later = pairs_of(key[3], block)
+            bucket = [None] * len(a)
+            if later:
+                a, b, bucket = a + [None], b + [None], bucket + [key[0]]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, bucket)], names=["a", "b", "bucket"])
 
         for batch in batches:
             for bucket, lo, hi, band, *row in zip(*(batch.column(k).to_pylist() for k in range(10)), strict=True):
@@ -287,31 +292,35 @@ def link_documents(docs: DataFrame, similar: Similar = Similar()) -> DataFrame:
     members = materialize(keys.join(shared, "bucket"), "members")
     stars = materialize(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
     # Only texts of documents in shared buckets are read again.
-    wanted = members.select("node").distinct().join(classes, "node").select("node", "head", "head_hash")
+    wanted = materialize(members.select("node").distinct().join(classes, "node").select("node", "head", "head_hash"), "wanted")
     text = F.col("text").cast("binary")
-    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_hash")).join(wanted, (F.col("doc_id") == F.col("head")) & (F.col("_hash") == F.col("head_hash")))
-    texts = texts.select(F.col("node").alias("doc_id"), "text")
+    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_hash")).join(few(wanted, BROADCAST_NODES), (F.col("doc_id") == F.col("head")) & (F.col("_hash") == F.col("head_hash")))
+    texts = materialize(texts.select(F.col("node").alias("doc_id"), "text"), "texts")
     links = materialize(verify(stars, texts, similar.percent), "links")
     labels = materialize(components(links), "labels")
-    high, found = FIRST_PAIRS, [links]
+    high, found, left = FIRST_PAIRS, [links], members
     while True:
         named = (
-            members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            left.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
             .join(heads.select("node", "n_shingles"), "node").select("bucket", "band", "node", "component", "n_shingles")
         )
-        blocks = _blocks(named).join(heads.select("node", "signature", "least"), "node").select("bucket", "lo", "hi", "band", "node", "component", "n_shingles", "part", "signature", "least")
-        ordered = blocks.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-        got = materialize(ordered.mapInArrow(_foreign_pairs(high, similar.percent), "a long, b long").distinct(), "pairs")
-        more = got.where("a is not null")
+        blocks = materialize(_blocks(named), "blocks")
+        some_heads = heads.join(few(materialize(blocks.select("node").distinct(), "open"), BROADCAST_NODES), "node", "left_semi")
+        rows = blocks.join(some_heads.select("node", "signature", "least"), "node").select("bucket", "lo", "hi", "band", "node", "component", "n_shingles", "part", "signature", "least")
+        ordered = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+        got = materialize(ordered.mapInArrow(_foreign_pairs(high, similar.percent), "a long, b long, bucket long"), "pairs")
+        more = got.where("a is not null").select("a", "b").distinct()
         if not more.isEmpty():
             found.append(materialize(verify(more, texts, similar.percent), "links"))
             every = found[0]
             for x in found[1:]:
                 every = every.union(x)
             labels = materialize(components(every), "labels")
-        if got.where("a is null").isEmpty():
+        # Only buckets in which a member has more candidates are looked at again.
+        unfinished = got.where("bucket is not null").select("bucket").distinct()
+        if unfinished.isEmpty():
             break
-        high *= 8
+        left, high = members.join(unfinished, "bucket"), high * 8
     # What a class reaches holds for all its members; a component goes by the smallest document of its classes.
     smallest = labels.join(classes, "node").groupBy("component").agg(F.min("head").alias("smallest"))
     reached = classes.join(labels.join(smallest, "component"), "node", "left").select("set_id", F.coalesce("smallest", "head").alias("component_id"))
