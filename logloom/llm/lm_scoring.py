@@ -6,14 +6,16 @@ all tokens, so no key is hot.
 
 The model predicts each subword from the subwords before it: one attention head over the last positions of a
 window, added to a vector of the last subword, gives the state; the next subword's class, then its place in
-the class, are two softmaxes on the state (their biases start at the corpus frequencies). It is trained by
-numpy (Adam) on documents drawn by a hash of doc_id, a fixed share of the training documents (all of them
-while the corpus is small), so the training data grow with the input. Trainers each hold a bounded part of
-the windows, and after each round their parameters are averaged.
+the class, are two softmaxes on the state. Subwords beyond the most frequent ones share one place, and in it each has
+its own share, by its count; as inputs they have vectors by a hash. All counts are of all training documents: those of
+single subwords are the biases, those of pairs give the vectors of last subwords and of outputs their start (a
+truncated singular value decomposition of the pairs' mutual information). Then all parameters are
+trained by numpy (Adam) on every window of every training document. Trainers each hold a bounded part of the
+windows; each round takes another part of them all, and after it the trainers' parameters are averaged.
 
 Scoring cuts a document into windows whose targets do not overlap but whose contexts do: each window repeats
 the CONTEXT inputs before its first target, so every subword is scored once, with at least that context, by
-batched masked attention. Subwords outside the model's vocabulary share one entry evenly.
+batched masked attention. Texts, their subword ids and row numbers are written once and read by all steps.
 
 Defined results: a null text is empty and is scored as its end alone; without training documents counts are 0
 and the model is uniform; repeated rows count and score as documents of their own; rows with a null doc_id
@@ -43,16 +45,16 @@ CONTEXT, STRIDE = 6, 26
 WINDOW = CONTEXT + STRIDE
 #: Frequent words that all tasks hold.
 TOP = 200_000
-#: Share of the training documents that the model learns from, and the tokens below which it takes more.
-SHARE, ENOUGH = 1 / 64, 2_000_000
-#: Windows of a trainer; rounds of training and averaging; passes over the windows in a round.
-TRAINER, ROUNDS, PASSES, BATCH, RATE = 25_000, 3, 2, 128, 0.01
+#: Places by hash for the inputs that have none of their own.
+HASHED = 1024
+#: Windows of a trainer; rounds of training and averaging; batches that a trainer takes in a round at least, by more passes where windows are few.
+TRAINER, ROUNDS, STEPS, BATCH, RATE = 100_000, 2, 150, 256, 0.01
 
 
 # ---- the model -------------------------------------------------------------------------------------------------
 
 SHAPES = {
-    "embed": (SLOTS, DIM), "place": (WINDOW, DIM), "query": (DIM, DIM), "key": (DIM, DIM), "value": (DIM, DIM), "last": (SLOTS, DIM),
+    "embed": (SLOTS + HASHED, DIM), "place": (WINDOW, DIM), "query": (DIM, DIM), "key": (DIM, DIM), "value": (DIM, DIM), "last": (SLOTS + HASHED, DIM),
     "to_class": (CLASSES, DIM), "class_bias": (CLASSES,), "to_member": (SLOTS, DIM), "member_bias": (SLOTS,),
 }
 MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None], 0.0, -1e9).astype(np.float32)
@@ -68,6 +70,33 @@ def initial(frequency: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
     return p
 
 
+def informed(p: dict[str, np.ndarray], pairs: np.ndarray, seed: int = 4) -> dict[str, np.ndarray]:
+    """Parameters whose last-subword and output vectors start at the main directions of what pairs[last, next] tell.
+
+    The table of log P(next | last) / P(next), shrunk where counts are small and weighted by the frequencies of both,
+    is decomposed by randomised subspace iteration.
+    """
+    n = pairs + 20.0 * pairs.sum(axis=1, keepdims=True).clip(1e-9) / pairs.sum().clip(1e-9) * pairs.sum(axis=0) / pairs.sum(axis=1, keepdims=True).clip(1e-9)
+    row, col = n.sum(axis=1, keepdims=True), n.sum(axis=0, keepdims=True)
+    told = np.where((row > 0) & (col > 0), np.log(np.maximum(n, 1e-9) * n.sum() / np.maximum(row * col, 1e-9)), 0.0)
+    r, c = np.sqrt(row / n.sum()), np.sqrt(col / n.sum())
+    table = (np.clip(told, -4, 8) * r * c).astype(np.float32)
+    q = np.random.default_rng(seed).normal(size=(len(pairs), DIM + 8)).astype(np.float32)
+    for _ in range(6):
+        q = np.linalg.qr(table @ (table.T @ q))[0]
+    u, size, v = np.linalg.svd(q.T @ table, full_matrices=False)
+    u, size, v = (q @ u)[:, :DIM], np.sqrt(size[:DIM]), v[:DIM]
+    start, to_next = u * size / np.maximum(r, 1e-4), (v * size[:, None]).T / np.maximum(c.T, 1e-4)
+    weight = col.reshape(CLASSES, MEMBERS, 1) + 1e-9
+    grouped = to_next.reshape(CLASSES, MEMBERS, DIM)
+    centre = (grouped * weight).sum(axis=1) / weight.sum(axis=1)
+    out = dict(p)
+    out["last"] = p["last"] * 0.1
+    out["last"][:SLOTS] += start
+    out["to_class"], out["to_member"] = centre.astype(np.float32), (grouped - centre[:, None]).reshape(-1, DIM).astype(np.float32)
+    return {k: np.ascontiguousarray(x, np.float32) for k, x in out.items()}
+
+
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].reshape(-1) for k in SHAPES])
 
@@ -133,6 +162,12 @@ def log_probability(p: dict[str, np.ndarray], tables: tuple, x: np.ndarray, y: n
     return out
 
 
+def _summed(rows: int, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sums of the vectors x by row number."""
+    places = (at.reshape(-1, 1).astype(np.int64) * DIM + np.arange(DIM)).reshape(-1)
+    return np.bincount(places, x.reshape(-1), minlength=rows * DIM).reshape(rows, DIM)
+
+
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean negative log probability of the valid targets."""
     g = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
@@ -140,8 +175,10 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, valid: np.
     a /= total
     n = max(int(valid.sum()), 1)
     hv, yv = h.reshape(-1, DIM)[valid], y.reshape(-1)[valid]
-    z = hv @ p["to_class"].T + p["class_bias"]
-    z = np.exp(z - z.max(axis=1, keepdims=True))
+    z = hv @ p["to_class"].T
+    z += p["class_bias"]
+    np.clip(z, -60, 80, out=z)
+    np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     z[np.arange(len(yv)), yv // MEMBERS] -= 1
     z /= n
@@ -152,8 +189,10 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, valid: np.
     gw, gb = g["to_member"].reshape(CLASSES, MEMBERS, DIM), g["member_bias"].reshape(CLASSES, MEMBERS)
     for c in np.flatnonzero(np.diff(bounds)):
         rows = order[bounds[c] : bounds[c + 1]]
-        z = hv[rows] @ weights[c].T + bias[c]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
+        z = hv[rows] @ weights[c].T
+        z += bias[c]
+        np.clip(z, -60, 80, out=z)
+        np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
         z[np.arange(len(rows)), yv[rows] % MEMBERS] -= 1
         z /= n
@@ -162,7 +201,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, valid: np.
     dh = np.zeros((x.shape[0] * STRIDE, DIM), np.float32)
     dh[valid] = dh_valid
     dh = dh.reshape(-1, STRIDE, DIM)
-    np.add.at(g["last"], x[:, CONTEXT:].reshape(-1), dh.reshape(-1, DIM))
+    g["last"] = _summed(len(g["last"]), x[:, CONTEXT:], dh)
     da = dh @ v.transpose(0, 2, 1)
     ds = a * (da - (da * a).sum(axis=2, keepdims=True))
     dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
@@ -173,27 +212,33 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, valid: np.
     g["key"], g["value"] = e.reshape(both).T @ dk.reshape(both), e.reshape(both).T @ dv.reshape(both)
     de = dk @ p["key"].T + dv @ p["value"].T
     de[:, CONTEXT:] += dq @ p["query"].T * scale
-    np.add.at(g["embed"], x.reshape(-1), de.reshape(both))
+    g["embed"] = _summed(len(g["embed"]), x, de)
     g["place"] = de.sum(axis=0)
     return g
 
 
-def windows_of(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs (n, WINDOW) and targets (n, STRIDE; START where there is none) of a document's slots."""
+def windows_of(slots: np.ndarray, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs (n, WINDOW) and targets (n, STRIDE; START where there is none) of a document's slots; seen: the slots as inputs."""
+    seen = slots if seen is None else seen
     n = -(-len(slots) // STRIDE)
     inputs = np.full(CONTEXT + n * STRIDE, START, np.int32)
-    inputs[CONTEXT + 1 : CONTEXT + len(slots)] = slots[:-1]
+    inputs[CONTEXT + 1 : CONTEXT + len(slots)] = seen[:-1]
     targets = np.full(n * STRIDE, START, np.int32)
     targets[: len(slots)] = slots
     return np.lib.stride_tricks.sliding_window_view(inputs, WINDOW)[::STRIDE], targets.reshape(n, STRIDE)
 
 
+def _windows(ids: np.ndarray, slots: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of a document's subword ids and its end."""
+    return windows_of(np.append(slots[ids], np.int32(END)), np.append(seen[ids], np.int32(END)))
+
+
 def train_part(params: np.ndarray, windows: np.ndarray, seed: int) -> np.ndarray:
-    """Adam over one trainer's windows, (n, WINDOW + STRIDE): inputs, then targets."""
+    """Adam over one trainer's windows, (n, WINDOW + STRIDE): inputs, then targets. One pass, or more up to STEPS batches."""
     p = shaped(params.copy())
     m, s = ({k: np.zeros(v, np.float32) for k, v in SHAPES.items()} for _ in range(2))
     rng, t = np.random.default_rng(seed), 0
-    for _ in range(PASSES):
+    for _ in range(max(1, -(-STEPS // -(-len(windows) // BATCH)))):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), BATCH):
             w = windows[order[at : at + BATCH]]
@@ -210,22 +255,56 @@ def train_part(params: np.ndarray, windows: np.ndarray, seed: int) -> np.ndarray
 # ---- fitting on Spark ------------------------------------------------------------------------------------------
 
 
-def _ids(path: str | None):
+ROWS = "row long, doc_id long, train boolean, text binary"
+
+
+def _tokenized(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = subwords(path or vocabulary_path())
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ids for _, ids in known.each(t.as_py() or b"" for t in b.column(1))], pa.binary())], names=["doc", "ids"])
+            ids = [ids for _, ids in known.each(t.as_py() for t in b.column(3))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], names=["row", "doc_id", "train", "text", "ids"])
 
     return run
 
 
-def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: Counter = Counter()
-    for b in batches:
-        for ids in b.column(1):
-            u, n = np.unique(np.frombuffer(ids.as_py(), "<u4"), return_counts=True)
-            total.update(dict(zip(u.tolist(), n.tolist(), strict=True)))
-    yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
+def numbered(docs: DataFrame, train: Column, path: str | None = None) -> DataFrame:
+    """docs (doc_id, text) with a row number, `train`, the text lower-cased (binary) and its subword ids (32 bits each), written once."""
+    lower = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), lower.alias("text"))
+    return materialize(rows.mapInArrow(_tokenized(path), ROWS + ", ids binary"), "lm-rows")
+
+
+def _count_ids(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"), minlength=size)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
+
+    return run
+
+
+def _count_pairs(slots: np.ndarray):
+    """How often a slot follows another (START before the first), as rows (last * SLOTS + next, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS * SLOTS, np.int64)
+        for b in batches:
+            for at in range(0, len(b), 2000):
+                texts = [x.as_py() for x in b.column(0)[at : at + 2000]]
+                ids = slots[np.frombuffer(b"".join(texts), "<u4")]
+                sizes = np.array([len(x) // 4 for x in texts])
+                following = np.insert(ids, np.cumsum(sizes), END)
+                ends = np.cumsum(sizes + 1) - 1
+                last = np.concatenate([[START], following[:-1]])
+                last[ends[:-1] + 1] = START
+                total += np.bincount(last.astype(np.int64) * SLOTS + following, minlength=SLOTS * SLOTS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
+
+    return run
 
 
 def slot_table(ids: list[int], size: int) -> np.ndarray:
@@ -235,6 +314,11 @@ def slot_table(ids: list[int], size: int) -> np.ndarray:
     return table
 
 
+def seen_table(slots: np.ndarray) -> np.ndarray:
+    """Subword id -> slot as an input: those without a place of their own are told apart by a hash."""
+    return np.where(slots == OTHER, SLOTS + np.arange(len(slots)) % HASHED, slots).astype(np.int32)
+
+
 def vocabulary_size(path: str | None) -> int:
     from tokenizers import Tokenizer
 
@@ -257,55 +341,60 @@ def _average(parts: DataFrame) -> np.ndarray | None:
     return _mean(parts.toPandas())[0] if count else None
 
 
-def fit(docs: DataFrame, path: str | None = None) -> tuple[dict, np.ndarray, float]:
-    """(parameters, slot table, log of an OTHER subword's share). docs: training rows, doc (long hash), text (lower-cased binary), words."""
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    share = min(1.0, max(SHARE, ENOUGH * 3.0 / max(total, 1)))  # about three bytes a token
-    drawn = docs.where(F.pmod(F.col("doc"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
-    sample = materialize(drawn.select("doc", "text").mapInArrow(_ids(path), "doc long, ids binary"), "lm-sample")
+def _trainer(turn: int, shared):
+    def learn(part: pd.DataFrame) -> pd.DataFrame:
+        w = np.frombuffer(b"".join(sorted(part["window"])), "<u2").reshape(len(part), -1).astype(np.int32)
+        node = int(part["node"].iloc[0])
+        return pd.DataFrame({"node": [node], "n": [len(w)], "params": [train_part(shared.value, w, turn * 1_000_003 + node).tobytes()]})
+
+    return learn
+
+
+def fit(rows: DataFrame, path: str | None = None) -> tuple[dict, np.ndarray, np.ndarray]:
+    """(parameters, slot table, log share of each subword in OTHER). rows: training rows of `numbered`."""
     size = vocabulary_size(path)
-    counted = sample.mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
-    kept = [r["id"] for r in counted[: SLOTS - FIRST]]
+    counts = np.zeros(size)
+    for r in rows.select("ids").mapInArrow(_count_ids(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
+        counts[r["id"]] = r["n"]
+    kept = [int(i) for i in np.lexsort((np.arange(size), -counts))[: SLOTS - FIRST] if counts[i]]
     slots = slot_table(kept, size)
+    others = np.where(slots == OTHER, counts + 1.0, 0.0)
+    share = np.where(others > 0, np.log(np.maximum(others, 1.0) / max(others.sum(), 1.0)), 0.0)
     frequency = np.zeros(SLOTS)
-    frequency[FIRST : FIRST + len(kept)] = [r["n"] for r in counted[: len(kept)]]
-    frequency[OTHER] = sum(r["n"] for r in counted[len(kept) :])
-    frequency[END] = sample.count()
-    params = flat(initial(frequency))
+    frequency[FIRST : FIRST + len(kept)] = counts[kept]
+    frequency[OTHER] = others.sum() - (others > 0).sum()
+    frequency[END] = rows.count()
+    pairs = np.zeros(SLOTS * SLOTS)
+    counted = rows.select("ids").mapInArrow(_count_pairs(slots), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS * SLOTS rows of two numbers
+    pairs[counted.column("pair").to_numpy()] = counted.column("n").to_numpy()
+    params = initial(frequency)
+    if len(counted):
+        params = informed(params, pairs.reshape(SLOTS, SLOTS))
+    params = flat(params)
+    seen = seen_table(slots)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, rows = [], []
-            for d, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = np.append(slots[np.frombuffer(ids.as_py(), "<u4")], END)
-                x, y = windows_of(s)
-                doc += [d] * len(x)
-                rows += [r.tobytes() for r in np.concatenate([x, y], axis=1).astype("<u2")]
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(rows, pa.binary())], names=["doc", "window"])
-
-    windows = materialize(sample.mapInArrow(cut, "doc long, window binary"), "lm-windows")
-    discard(sample)
+            keys, out = [], []
+            for row, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                both = np.concatenate(_windows(np.frombuffer(ids.as_py(), "<u4"), slots, seen), axis=1).astype("<u2")
+                keys += [row] * len(both)
+                out += [w.tobytes() for w in both]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["row", "window"])
+
+    windows = materialize(rows.select("row", "ids").mapInArrow(cut, "row long, window binary"), "lm-windows")
     trainers = max(1, -(-windows.count() // TRAINER))
-    dealt = materialize(windows.select(F.pmod(F.xxhash64("doc", "window"), F.lit(trainers)).alias("node"), "window"), "lm-dealt")
-    discard(windows)
+    place = F.pmod(F.xxhash64("row", "window"), F.lit(trainers * ROUNDS))
+    dealt = windows.select(F.floor(place / ROUNDS).alias("node"), (place % ROUNDS).alias("turn"), "window")
     for turn in range(ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast(params)
-
-        def learn(part: pd.DataFrame, turn=turn, shared=shared) -> pd.DataFrame:
-            w = np.frombuffer(b"".join(sorted(part["window"])), "<u2").reshape(len(part), -1).astype(np.int32)
-            node = int(part["node"].iloc[0])
-            return pd.DataFrame({"node": [node], "n": [len(w)], "params": [train_part(shared.value, w, turn * 1_000_003 + node).tobytes()]})
-
-        def run(part: pd.DataFrame, learn=learn) -> pd.DataFrame:
-            return learn(part)
-
-        parts = materialize(dealt.groupBy("node").applyInPandas(lambda part: run(part), "node long, n long, params binary"), "lm-parts")
+        shared = rows.sparkSession.sparkContext.broadcast(params)
+        parts = materialize(dealt.where(F.col("turn") == turn).drop("turn").groupBy("node").applyInPandas(_trainer(turn, shared), "node long, n long, params binary"), "lm-parts")
         averaged = _average(parts)
         discard(parts)
         if averaged is None:
             break
         params = averaged
-    return shaped(params), slots, -math.log(max(size - len(kept), 1))
+    return shaped(params), slots, share
 
 
 # ---- scoring ---------------------------------------------------------------------------------------------------
@@ -350,16 +439,18 @@ def frequent_words(counts: DataFrame, top: int = TOP) -> tuple[dict[bytes, int],
 SCORED = "row long, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
 
 
-def _score(model, words, path: str | None):
+def _score(model, words):
+    """Rows (row, text, ids) of `numbered`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params, slots, other = model.value
-        tables, known, frequent = _tables(params), subwords(path or vocabulary_path()), words.value
+        params, slots, share = model.value
+        tables, seen, frequent = _tables(params), seen_table(slots), words.value
         nan = math.nan
         cols: list[list] = [[] for _ in range(6)]
-        xs, ys, total = [], [], 0
+        xs, ys, others, total = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal cols, xs, ys, total
+            nonlocal cols, xs, ys, others, total
             x, y = np.concatenate(xs), np.concatenate(ys)
             per = np.empty((len(y), STRIDE), np.float64)
             for at in range(0, len(x), 2048):
@@ -367,18 +458,19 @@ def _score(model, words, path: str | None):
                 valid = part.reshape(-1) != START
                 got = np.zeros(len(valid))
                 got[valid] = log_probability(params, tables, x[at : at + 2048], part, valid)
-                got[part.reshape(-1) == OTHER] += other
                 per[at : at + 2048] = got.reshape(-1, STRIDE)
             starts = np.concatenate([[0], np.cumsum([len(v) for v in ys])[:-1]])
-            cols[4] = (np.add.reduceat(per.sum(axis=1), starts) / math.log(10)).tolist()
+            cols[4] = ((np.add.reduceat(per.sum(axis=1), starts) + np.array(others)) / math.log(10)).tolist()
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in SCORED.split(", ")])
-            cols, xs, ys, total = [[] for _ in range(6)], [], [], 0
+            cols, xs, ys, others, total = [[] for _ in range(6)], [], [], [], 0
             return out
 
         for b in batches:
-            for row, (ws, ids) in zip(b.column(0).to_pylist(), known.each(t.as_py() or b"" for t in b.column(1)), strict=True):
-                x, y = windows_of(np.append(slots[np.frombuffer(ids, "<u4")], END))
+            for row, t, i in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                ws, ids = t.as_py().split(), np.frombuffer(i.as_py(), "<u4")
+                x, y = _windows(ids, slots, seen)
+                others.append(float(share[ids].sum()))
                 ws.append(b"")
                 base = np.fromiter(map(frequent.get, ws, repeat(nan)), np.float64, len(ws))
                 lost = np.flatnonzero(np.isnan(base))
@@ -396,10 +488,10 @@ def _score(model, words, path: str | None):
 
 
 def score_documents(docs: DataFrame, train: Column, path: str | None = None) -> DataFrame:
-    """Per row of docs: its columns but text, n_tokens, n_known, train_tokens, base_score, score."""
+    """Per row of docs: doc_id, train, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    lowered = lambda df: df.withColumn("text", F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"))
-    training = lowered(docs.where(train).select(F.xxhash64("doc_id").alias("doc"), "text"))
+    rows = numbered(docs.select("doc_id", "text"), train, path)
+    training = rows.where("train")
     counts = materialize(word_counts(training), "word-counts")
     stats = counts.agg(F.sum("c").alias("N"), F.count(F.lit(1)).alias("V")).first()
     n, v = int(stats["N"] or 0), int(stats["V"])
@@ -407,16 +499,13 @@ def score_documents(docs: DataFrame, train: Column, path: str | None = None) ->
     top, least = frequent_words(counts)
     words = spark.sparkContext.broadcast({w: math.log10(c + 1) - scale for w, c in top.items()})
     model = spark.sparkContext.broadcast(fit(training, path))
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    ids = materialize(rows.drop("text"), "lm-rows")
-    # The scan is the same, so row numbers agree with those of ids.
-    scored = materialize(lowered(rows.select("row", "text")).mapInArrow(_score(model, words, path), SCORED), "lm-scored")
+    scored = materialize(rows.select("row", "text", "ids").mapInArrow(_score(model, words), SCORED), "lm-scored")
     rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("k"))
     found = rare.join(counts, "word", "left").select("row", "k", F.coalesce("c", F.lit(0)).alias("c"))
     more = found.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("_known"), F.sum(F.col("k") * (F.log10(F.col("c") + 1.0) - F.lit(scale))).alias("_base"))
-    out = ids.join(scored.drop("rare"), "row").join(more, "row", "left")
+    out = rows.select("row", "doc_id", "train").join(scored.drop("rare"), "row").join(more, "row", "left")
     return out.select(
-        *[c for c in docs.columns if c != "text"], "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        "doc_id", "train", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), "score",
     )
 
@@ -424,4 +513,4 @@ def score_documents(docs: DataFrame, train: Column, path: str | None = None) ->
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
     held = crc_mod(F.col("doc_id"), 7) == 2
     out = score_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), ~held)
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
