@@ -68,6 +68,16 @@ def _number_text(x: Column) -> Column:
     return F.regexp_replace(x.cast("string"), r"\.0$", "")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once for each row, whatever is filtered or selected later.
+
+    A one-element array is exploded: filters and projections on its outcome are not merged into the expressions.
+    """
+    made = F.struct(*[v.alias(k) for k, v in columns.items()])
+    rows = df.select(*[c for c in df.columns if c not in columns], F.explode(F.array(made)).alias("_made"))
+    return rows.select(*[c for c in rows.columns if c != "_made"], *[F.col("_made")[k].alias(k) for k in columns])
+
+
 def parse(records: DataFrame) -> DataFrame:
     """Add log_id (if absent), level, message, fields, entities, latency_ms, bytes, status_code, template, fingerprint.
 
@@ -82,8 +92,7 @@ def parse(records: DataFrame) -> DataFrame:
     df = df.withColumn("_kv", F.when(F.col("_json").isNull() & (F.size("_keys") >= 2), last_wins(F.col("_keys"), F.col("_values"))))
     j, k = F.col("_json"), F.col("_kv")
     message = F.coalesce(j["message"], j["msg"], j["log"], k["msg"], k["message"], F.col("_t"))
-    df = df.withColumn("message", message).withColumn("level", detect_level(F.col("raw"), F.coalesce(j["level"], j["severity"], k["level"])))
-    df = df.withColumns(numbers(F.col("raw")))
+    df = once(df, _json=j, _kv=k, message=message, level=detect_level(F.col("raw"), F.coalesce(j["level"], j["severity"], k["level"])), **numbers(F.col("raw")))
     names = {"latencyMs": _number_text(F.col("latency_ms")), "bytes": F.col("bytes").cast("string"), "statusCode": F.col("status_code").cast("string")}
     numeric = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in names.items()]), lambda e: e["value"].isNotNull()))
     df = df.withColumn("fields", merged(F.coalesce(j, k, _empty()), numeric, attributes)).withColumn("entities", entities(F.col("raw")))

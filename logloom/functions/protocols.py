@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .parsing import once
 
 
 def _first(raw: Column, pattern: str, group: int = 1) -> Column:
@@ -20,37 +21,46 @@ def xml_tag(raw: Column, tag: str) -> Column:
     return _first(raw, rf"(?i)<(?:[\w.-]+:)?{tag}>\s*([^<]+?)\s*</(?:[\w.-]+:)?{tag}>")
 
 
-def xml_event(raw: Column) -> dict[str, Column]:
+EVENT = ("type", "corr_id", "ack_code", "own_id")
+
+
+def _event(kind: Column, corr: Column, ack: Column, own: Column | None = None) -> Column:
+    """struct<type, corr_id, ack_code, own_id>, all text; a null type means no event."""
+    return F.struct(*[(F.lit(None) if x is None else x).cast("string").alias(n) for n, x in zip(EVENT, (kind, corr, ack, own), strict=True)])
+
+
+def xml_event(raw: Column) -> Column:
     kind = F.upper(xml_tag(raw, "messageType"))
     own, init = xml_tag(raw, "messageId"), xml_tag(raw, "initMessageId")
     corr = F.when(kind == "REQUEST", own).when(kind.isin("ACK", "RESPONSE"), init)
-    return {"type": F.when(corr.isNotNull(), kind), "corr_id": corr, "ack_code": F.when(corr.isNotNull(), xml_tag(raw, "ackCode")), "own_id": own}
+    return _event(F.when(corr.isNotNull(), kind), corr, F.when(corr.isNotNull(), xml_tag(raw, "ackCode")), own)
 
 
-def call_event(raw: Column) -> dict[str, Column]:
+def call_event(raw: Column) -> Column:
+    """The JSON or the text form; a lambda holds the parsed JSON, so a line is parsed once."""
     body = F.ltrim(raw)
-    o = F.when(body.startswith("{"), F.from_json(body, "map<string,string>"))
-    json_type = F.upper(F.coalesce(o["messageType"], o["type"]))
-    json_id = F.nullif(F.coalesce(o["correlationId"], o["requestId"], o["id"]), F.lit(""))
-    is_json = F.coalesce(json_type.isin("REQUEST", "RESPONSE") & json_id.isNotNull(), F.lit(False))
     text_id = _first(raw, P.HANDLER_ID)
     rest = F.regexp_replace(raw, P.HANDLER_TOKEN, "")
     text_type = F.when(rest.rlike(P.jvm(r"(?i)\brequest\b")), "REQUEST").when(rest.rlike(P.jvm(r"(?i)\bresponse\b")), "RESPONSE")
-    kind = F.when(is_json, json_type).when(text_id.isNotNull(), text_type)
-    return {
-        "type": kind,
-        "corr_id": F.when(is_json, json_id).when(text_type.isNotNull(), text_id),
-        "ack_code": F.when(is_json, F.coalesce(o["ackCode"], o["status"], o["statusCode"])),
-        "own_id": F.lit(None).cast("string"),
-    }
 
+    def read(o: Column) -> Column:
+        json_type = F.upper(F.coalesce(o["messageType"], o["type"]))
+        json_id = F.nullif(F.coalesce(o["correlationId"], o["requestId"], o["id"]), F.lit(""))
+        is_json = F.coalesce(json_type.isin("REQUEST", "RESPONSE") & json_id.isNotNull(), F.lit(False))
+        return _event(
+            F.when(is_json, json_type).when(text_id.isNotNull(), text_type), F.when(is_json, json_id).when(text_type.isNotNull(), text_id),
+            F.when(is_json, F.coalesce(o["ackCode"], o["status"], o["statusCode"])),
+        )
+
+    return F.get(F.transform(F.array(F.when(body.startswith("{"), F.from_json(body, "map<string,string>"))), read), F.lit(0))
 
-def gateway_event(raw: Column) -> dict[str, Column]:
+
+def gateway_event(raw: Column) -> Column:
     """Execution-log lines keyed by the gateway's own id. Kept for completeness; no protocol uses it."""
     corr = _first(raw, r"(?i)\(([a-z0-9-]{8,})\)")
     status = _first(raw, P.HTTP_STATUS[1])
     kind = F.when(status.isNotNull(), "RESPONSE").when(raw.rlike(P.jvm(r"(?i)\bstarting execution\b")), "REQUEST")
-    return {"type": F.when(corr.isNotNull(), kind), "corr_id": corr, "ack_code": status}
+    return _event(F.when(corr.isNotNull(), kind), corr, status)
 
 
 def xml_success(code: Column) -> Column:
@@ -79,7 +89,7 @@ class Protocol:
 
     id: str
     phases: tuple[str, ...]
-    event: Callable[[Column], dict[str, Column]]
+    event: Callable[[Column], Column]
     success: Callable[[Column], Column]
     groups: tuple[str, ...]
     timeout_minutes: int
@@ -117,24 +127,22 @@ def owner_by_group(stream: Column, apps: tuple[Protocol, ...] = INSTALLED) -> Co
     return out
 
 
-def owner(stream: Column, raw: Column, apps: tuple[Protocol, ...] = INSTALLED) -> Column:
-    """By log group, else the first application whose protocol recognises the line."""
-    by_content = F.coalesce(*[F.when(a.event(raw)["type"].isNotNull(), a.id) for a in apps])
-    return F.coalesce(owner_by_group(stream, apps), by_content)
-
-
 def events(logs: DataFrame, apps: tuple[Protocol, ...] = INSTALLED) -> DataFrame:
-    """Lines that are transaction events: adds application, type, corr_id, ack_code, own_id."""
-    df = logs.withColumn("application", owner(F.col("stream"), F.col("raw"), apps))
-    for name in ("type", "corr_id", "ack_code", "own_id"):
-        choice = F.lit(None).cast("string")
-        for a in apps:
-            choice = F.when(F.col("application") == a.id, a.event(F.col("raw"))[name]).otherwise(choice)
-        df = df.withColumn(name, choice)
-    return df.where(F.col("type").isNotNull())
+    """Lines that are transaction events: adds application, type, corr_id, ack_code, own_id.
+
+    A line belongs to the application that owns its log group, else to the first whose protocol recognises it. Each
+    protocol reads a line once.
+    """
+    made = {f"_event_{a.id}": a.event(F.col("raw")) for a in apps}
+    df = once(logs, **made)
+    by_content = F.coalesce(*[F.when(F.col(f"_event_{a.id}")["type"].isNotNull(), a.id) for a in apps])
+    df = df.withColumn("application", F.coalesce(owner_by_group(F.col("stream"), apps), by_content))
+    own = F.coalesce(*[F.when(F.col("application") == a.id, F.col(f"_event_{a.id}")) for a in apps])
+    return df.withColumn("_event", own).drop(*made).where(F.col("_event")["type"].isNotNull()).withColumns({name: F.col("_event")[name] for name in EVENT}).drop("_event")
 
 
 def is_transaction_line(raw: Column, apps: tuple[Protocol, ...] = INSTALLED) -> Column:
+    """Whether any protocol recognises the line."""
     out = F.lit(False)
     for a in apps:
         out = out | a.event(raw)["type"].isNotNull()

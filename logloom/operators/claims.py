@@ -37,7 +37,7 @@ def _holds(op: Column, subject: Column, value: Column, patterns: bool) -> Column
         .when(op == "not_contains", ~F.contains(low_s, low_v)).when(op == "equals", subject == value)
     )
     if patterns:
-        test = test.when(op == "matches", (F.length(value) <= MAX_PATTERN) & _matches(F.coalesce(subject, F.lit("")), F.coalesce(value, F.lit(""))))
+        test = test.when(op == "matches", (F.length(value) <= MAX_PATTERN) & _matches(F.when(op == "matches", subject), F.when(op == "matches", value)))
     return F.coalesce(known & test, F.lit(False))
 
 

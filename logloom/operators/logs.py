@@ -6,19 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import patterns as P
-from logloom.functions.parsing import category
+from logloom.functions.parsing import category, once
+from logloom.functions.protocols import is_transaction_line
 
 ALPHA, MIN_WINDOW_MS = 0.3, 1000
 EVIDENCE, EXCERPT = 10, 800
 
 
+def classified(parsed: DataFrame) -> DataFrame:
+    """Lines with a category, which is added. Lines of transactions are for the transaction operators and are left out."""
+    lines = once(parsed, category=F.when(~F.coalesce(is_transaction_line(F.col("raw")), F.lit(False)), category()))
+    return lines.where(F.col("category").isNotNull())
+
+
 def category_clusters(parsed: DataFrame) -> DataFrame:
     """One row per (category, fingerprint): counts, span, sources and the first lines as evidence.
 
     Only the first EVIDENCE lines of a cluster are collected: they are ranked before the aggregation, and the
     counts come from a partial aggregation, so a hot cluster costs one row per task.
     """
-    found = parsed.withColumn("category", category()).where(F.col("category").isNotNull())
+    found = classified(parsed)
     keys = ["category", "fingerprint"]
     counts = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_logs"), F.min("ts_ms").alias("window_start"), F.max("ts_ms").alias("window_end"), F.array_sort(F.collect_set("source")).alias("sources"))
     return counts.select(F.concat_ws(":", *keys).alias("key"), *keys, "n_logs", F.size("sources").alias("n_sources"), "sources", "window_start", "window_end")
@@ -26,7 +33,7 @@ def category_clusters(parsed: DataFrame) -> DataFrame:
 
 def with_evidence(parsed: DataFrame) -> DataFrame:
     """Clusters as anomaly records: the first EVIDENCE lines (time, then id), excerpts cut."""
-    found = parsed.withColumn("category", category()).where(F.col("category").isNotNull())
+    found = classified(parsed)
     w = Window.partitionBy("category", "fingerprint").orderBy("ts_ms", "log_id")
     first = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= EVIDENCE)
     line = F.struct(F.col("_r").alias("seq"), "log_id", "source", "stream", "ts_ms", F.substring("raw", 1, EXCERPT).alias("excerpt"))
