@@ -121,13 +121,9 @@ def classify_logs(spark, sf_dir):
     return parsed(spark, sf_dir).groupBy(parsing.category().alias("category"), "level").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
 
 
-_DOC = "select doc_id, line_no, substr(sha1(trim(regexp_replace(regexp_replace(raw, '\\b\\d+(?:\\.\\d+)?\\b', '<num>', 'g'), '\\s+', ' ', 'g'))), 1, 16) as fingerprint from v_lines where not regexp_matches(raw, '[\"'']|0x|\\d\\.\\d|-\\d|[^\\x00-\\x7F]')"
-
-
-@query(_DOC, "v_lines")
+@query(f"select doc_id, line_no, substr(sha1({_template('raw')}), 1, 16) as fingerprint from v_lines", "v_lines")
 def line_fingerprints(spark, sf_dir):
-    v = view(spark, sf_dir, "v_lines").where(~F.col("raw").rlike(r"[\"']|0x|\d\.\d|-\d|[^\x00-\x7F]"))
-    return v.select("doc_id", "line_no", parsing.fingerprint(F.col("raw")).alias("fingerprint"))
+    return view(spark, sf_dir, "v_lines").select("doc_id", "line_no", parsing.fingerprint(F.col("raw")).alias("fingerprint"))
 
 
 # ---- clusters and baselines --------------------------------------------------------------------------------------
@@ -160,6 +156,16 @@ def cluster_evidence(spark, sf_dir):
     return e.select("category", "fingerprint", F.array_join("evidence.log_id", ",").alias("evidence"), F.element_at("evidence", 1)["ts_ms"].alias("first_ms"))
 
 
+@query(
+    "select concat(category, ':', fingerprint) as key, count(*) as n_logs from p_logs where category is not null group by category, fingerprint",
+    "v_logs", "p_logs",
+)
+def clusters_beside_transactions(spark, sf_dir):
+    """Lines of transactions among the others, their failures included, make no clusters."""
+    both = view(spark, sf_dir, "v_logs").select("log_id", "source", "stream", "ts_ms", "raw").unionByName(view(spark, sf_dir, "v_tx3").select("log_id", "source", "stream", "ts_ms", "raw"))
+    return logs.category_clusters(parsing.parse(both)).select("key", "n_logs")
+
+
 _KEYS = " union all ".join(f"select log_id, source, ts_ms, concat('{k}:', unnest(list_distinct(regexp_extract_all(raw, {_q(P.ENTITIES[k][0])}, {P.ENTITIES[k][1]})))) as key from v_logs" for k in P.CORRELATION_ENTITIES)
 
 
@@ -651,12 +657,24 @@ def absent_runs(spark, sf_dir):
     return tables.absent(e.where("event_id % 3 = 0"), e.where("event_id % 2 = 0"), "event_id")
 
 
-@query("select doc_id, case when doc_id % 13 = 0 then true else false end as blocked, md5(concat(text, case when doc_id % 7 = 0 then ' Authorization: {BEARER_TOKEN}' else '' end, case when doc_id % 11 = 0 then ' {JWT}' else '' end)) as redacted from documents where not regexp_matches(text, '(?i)bearer|eyJ|aws_secret|PRIVATE KEY')")
+def _redacted(x: str) -> str:
+    for p, m in P.SECRETS:
+        x = f"regexp_replace({x}, {_q(p)}, '{m}', 'g')"
+    return x
+
+
+_HASH = "sha256(doc_id::varchar)"
+_SECRETS = f"concat(text, case when doc_id % 7 = 0 then concat(' Authorization: Bearer ', {_HASH}) end, case when doc_id % 11 = 0 then concat(' eyJ', substr({_HASH}, 1, 12), '.', substr({_HASH}, 13, 12), '.', substr({_HASH}, 25, 12)) end, case when doc_id % 9 = 0 then concat(' aws_secret_access_key = ', substr({_HASH}, 1, 40)) end)"
+
+
+@query(f"select doc_id, regexp_matches(concat(text, case when doc_id % 13 = 0 then '-----BEGIN RSA PRIVATE KEY-----' end), {_q(P.PRIVATE_KEY)}) as blocked, md5({_redacted(_SECRETS)}) as redacted from documents")
 def redacted_documents(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(~F.col("text").rlike("(?i)bearer|eyJ|aws_secret|PRIVATE KEY"))
+    """Every document; some hold a token of each kind besides their own secrets."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", F.coalesce("text", F.lit("")))
     h = F.sha2(F.col("doc_id").cast("string"), 256)
     k = F.col("doc_id")
     token = F.when(k % 7 == 0, F.concat(F.lit(" Authorization: Bearer "), h)).otherwise("")
     jwt = F.when(k % 11 == 0, F.concat(F.lit(" eyJ"), F.substring(h, 1, 12), F.lit("."), F.substring(h, 13, 12), F.lit("."), F.substring(h, 25, 12))).otherwise("")
+    aws = F.when(k % 9 == 0, F.concat(F.lit(" aws_secret_access_key = "), F.substring(h, 1, 40))).otherwise("")
     key = F.when(k % 13 == 0, "-----BEGIN RSA PRIVATE KEY-----").otherwise("")
-    return d.select("doc_id", parsing.has_private_key(key).alias("blocked"), F.md5(parsing.redact_secrets(F.concat("text", token, jwt))).alias("redacted"))
+    return d.select("doc_id", parsing.has_private_key(F.concat("text", key)).alias("blocked"), F.md5(parsing.redact_secrets(F.concat("text", token, jwt, aws))).alias("redacted"))
