@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from logloom import sources, streaming
 from logloom.functions import parsing, protocols
-from logloom.operators import identity, logs, tables, validation
+from logloom.operators import identity, logs, tables, telemetry, validation
 
 
 def parse_one(spark, raw, attributes=None):
@@ -114,3 +114,33 @@ def test_tables(spark):
 def test_severity(spark):
     df = spark.createDataFrame([(["low", "critical", "info"],), ([],)], "s array<string>").select(validation.worst(F.col("s")).alias("w"))
     assert [r.w for r in df.collect()] == ["critical", None]
+
+
+def test_hooks(spark):
+    t = spark.createDataFrame([("a", "undecided"), ("b", "undecided"), ("c", "failed")], "corr_id string, status string")
+
+    def scorer(batches):
+        for b in batches:
+            yield pd.DataFrame({"corr_id": b.corr_id, "status": ["completed" if x == "a" else "nonsense" for x in b.corr_id], "reason": "seen"})
+
+    got = {r.corr_id: r.status for r in telemetry.score_undecided(t, scorer).collect()}
+    assert got == {"a": "completed", "b": "undecided", "c": "failed"}
+    claims = telemetry.review(t, lambda batches: (pd.DataFrame({"claim_id": b.corr_id, "title": "x"}) for b in batches), "claim_id string, title string")
+    assert claims.count() == 3
+
+    def lengths(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: [float(len(v))])
+
+    assert telemetry.embed(t, lengths, "status").where("corr_id = 'c'").first().embedding == [6.0]
+
+
+def test_a_line_is_parsed_once(spark):
+    df = spark.createDataFrame([("cloudwatch", "s", 1, '{"level":"error","message":"request timeout"}', None)], sources.RECORD)
+    plan = logs.category_clusters(parsing.parse(df))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") <= 2 and len(plan) < 40_000
+
+
+def test_transaction_lines_make_no_clusters(spark):
+    lines = ["INFO correlationID: c9; Response from Data Services failed with error", "plain error in worker"]
+    df = spark.createDataFrame([("cloudwatch", "s", i, x, None) for i, x in enumerate(lines)], sources.RECORD)
+    assert [r.n_logs for r in logs.category_clusters(parsing.parse(df)).collect()] == [1]
