@@ -277,6 +277,7 @@ def numbered(docs: DataFrame, train: Column, path: str | None = None) -> DataFra
 
 def _count_ids(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords.cache_clear()  # the worker tokenises no more
         total = np.zeros(size, np.int64)
         for b in batches:
             total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"), minlength=size)
@@ -374,13 +375,21 @@ def fit(rows: DataFrame, path: str | None = None) -> tuple[dict, np.ndarray, np.
     seen = seen_table(slots)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, out = [], []
+
+        def done() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["row", "window"])
+            keys.clear(), out.clear()
+            return got
+
         for b in batches:
-            keys, out = [], []
             for row, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 both = np.concatenate(_windows(np.frombuffer(ids.as_py(), "<u4"), slots, seen), axis=1).astype("<u2")
                 keys += [row] * len(both)
                 out += [w.tobytes() for w in both]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["row", "window"])
+                if len(out) > 20_000:
+                    yield done()
+        yield done()
 
     windows = materialize(rows.select("row", "ids").mapInArrow(cut, "row long, window binary"), "lm-windows")
     trainers = max(1, -(-windows.count() // TRAINER))
