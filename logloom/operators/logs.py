@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom.functions import patterns as P
 from logloom.functions.parsing import category, once
 from logloom.functions.protocols import is_transaction_line
+from logloom.operators.shared import checkpointed
 
 ALPHA, MIN_WINDOW_MS = 0.3, 1000
 EVIDENCE, EXCERPT = 10, 800
@@ -83,18 +84,26 @@ def baselines(rated: DataFrame) -> DataFrame:
 
 
 def entries(lines: DataFrame, order: list[str], starts=None, strict_adjacency: bool = False) -> DataFrame:
-    """Join continuation lines to the entry above them: stream, head (order columns), n_lines, raw.
+    """Join continuation lines to the entry above them: stream, entry, head (order columns), n_lines, raw.
 
-    Streams are independent windows. strict_adjacency ends an entry where another stream's line comes between; it
-    needs one global order, so it is for small inputs.
+    Entries are numbered within their stream. Lines are range-partitioned by stream and order and written once, so a
+    hot stream spreads over many tasks; each counts its own starts and adds those of the slices before it. strict_adjacency ends
+    an entry where another stream's line comes between; it needs one global order, so it is for small inputs.
     """
     begins = F.col("raw").rlike(P.STARTS_ENTRY) | (starts if starts is not None else F.lit(False))
     if strict_adjacency:
-        w = Window.orderBy(*order)
-        begins = begins | ~F.lag("stream").over(w).eqNullSafe(F.col("stream"))
-    w = Window.partitionBy("stream").orderBy(*order)
-    flagged = lines.withColumn("_start", F.coalesce(begins, F.lit(False)) | (F.row_number().over(w) == 1))
-    numbered = flagged.withColumn("entry", F.sum(F.col("_start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        begins = begins | ~F.lag("stream").over(Window.orderBy(*order)).eqNullSafe(F.col("stream"))
+    slices = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flagged = lines.withColumn("_begins", F.coalesce(begins, F.lit(False)).cast("int")).repartitionByRange(slices, "stream", *order)
+    ranged = checkpointed(flagged.withColumn("_slice", F.spark_partition_id()))
+    counts = ranged.groupBy("stream", "_slice").agg(F.sum("_begins").alias("_n"), F.min_by("_begins", F.struct(*order)).alias("_first"))
+    w = Window.partitionBy("stream").orderBy("_slice")  # a row per slice
+    earlier = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A stream's first line begins an entry in any case.
+    before = counts.select(F.col("stream").alias("_s"), F.col("_slice").alias("_k"), (earlier + 1 - F.first("_first").over(w)).alias("_before"))
+    inner = F.sum("_begins").over(Window.partitionBy("_slice", "stream").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    counted = ranged.withColumn("_inner", inner)
+    numbered = counted.join(before, counted["stream"].eqNullSafe(before["_s"]) & (F.col("_slice") == F.col("_k"))).withColumn("entry", F.col("_inner") + F.col("_before"))
     line = F.struct(*order, F.rtrim("raw").alias("_raw"))
     grouped = numbered.groupBy("stream", "entry").agg(F.array_sort(F.collect_list(line)).alias("_lines"))
     head = F.element_at("_lines", 1)

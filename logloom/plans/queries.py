@@ -199,17 +199,12 @@ ORACLE_SQL["baseline_scores"] = ORACLE_SQL["baseline_scores"].replace("with ", "
 
 
 @query(
-    "select stream, entry, min(doc_id) as doc_id, count(*) as n_lines, sum(length(raw)) as chars from (select *, sum(case when regexp_matches(raw, " + _q(P.STARTS_ENTRY) + ") or rn = 1 then 1 else 0 end) over (partition by stream order by doc_id, line_no) as entry from (select *, row_number() over (partition by stream order by doc_id, line_no) as rn, from v_lines) a) b group by stream, entry",
+    "select stream, cast(entry as bigint) as entry, min(doc_id) as doc_id, count(*) as n_lines, md5(string_agg(rtrim(raw), chr(10) order by doc_id, line_no)) as text_hash from (select *, sum(case when regexp_matches(raw, " + _q(P.STARTS_ENTRY) + ") or rn = 1 then 1 else 0 end) over (partition by stream order by doc_id, line_no) as entry from (select *, row_number() over (partition by stream order by doc_id, line_no) as rn from v_lines) a) b group by stream, entry",
     "v_lines",
 )
 def coalesced_entries(spark, sf_dir):
-    v = view(spark, sf_dir, "v_lines")
-    e = logs.entries(v.withColumn("raw", F.col("raw")), ["doc_id", "line_no"])
-    counted = v.withColumn("_c", F.length("raw")).groupBy("doc_id").agg(F.sum("_c").alias("chars"))
-    return e.join(counted, "doc_id").select("stream", "entry", "doc_id", F.col("n_lines").cast("long").alias("n_lines"), "chars")
-
-
-ORACLE_SQL["coalesced_entries"] = ORACLE_SQL["coalesced_entries"].replace("as rn, from", "as rn from").replace("sum(length(raw)) as chars", "cast(sum(length(raw)) as bigint) as chars").replace("select stream, entry,", "select stream, cast(entry as bigint) as entry,")
+    e = logs.entries(view(spark, sf_dir, "v_lines"), ["doc_id", "line_no"])
+    return e.select("stream", "entry", "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.md5("raw").alias("text_hash"))
 
 
 # ---- transactions ------------------------------------------------------------------------------------------------

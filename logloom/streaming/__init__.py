@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logloom.functions.protocols import Protocol
 from logloom.operators import tables
+from logloom.operators.shared import shared_root
 
 TRANSACTION = "corr_id string, application string, status string, waiting_for string, phase_ts string, ack_code string, spawned_at long, first_seen_at long, last_activity long"
 STATE = "application string, phase_ts string, ack_code string, spawned_at long, first_seen_at long, last_activity long, status string"
@@ -104,7 +104,7 @@ def fold_updates(old: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='logloom-')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_once(stream: DataFrame, mode: str = "append", timers: bool = False) -> DataFrame:
