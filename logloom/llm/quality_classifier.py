@@ -27,8 +27,8 @@ from .samples import labelled_sample
 
 BUCKETS, DIM = 1 << 17, 8
 THRESHOLD = 0.3
-#: Words a task keeps ready; beyond it the table starts anew.
-CACHE = 300_000
+#: Words a task keeps ready; beyond it the table starts anew. Words of more than so many bytes are not kept.
+CACHE, LONG = 300_000, 100
 MASK = BUCKETS - 1
 SAME, EMPTY = crc32(b"\0same") & MASK, crc32(b"\0empty") & MASK
 
@@ -36,11 +36,11 @@ SAME, EMPTY = crc32(b"\0same") & MASK, crc32(b"\0empty") & MASK
 def shape(word: bytes) -> bytes:
     body = word.strip(b".,;:!?")
     kind = b"U" if body.isupper() and len(body) > 1 else b"T" if body.istitle() else b"d" if body.isdigit() else b"l" if body.isalpha() else b"x"
-    return b"\0shape" + kind + bytes([min(len(word), 12), len(word) - len(body)]) if len(word) - len(body) < 200 else b"\0long"
+    return b"\0shape" + kind + bytes([min(len(word), 12), min(len(word) - len(body), 255)])
 
 
 def word_ids(word: bytes) -> list[int]:
-    w = b"<" + word[:40] + b">"
+    w = b"<" + word + b">"
     ids = [crc32(word) & MASK, crc32(shape(word)) & MASK]
     for n in (3, 4, 5):
         ids += [crc32(w[i : i + n]) & MASK for i in range(len(w) - n + 1)]
@@ -120,7 +120,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 got = complex(sum([table[i] for i in ids]), len(ids))
                 if len(self) >= CACHE:
                     self.clear()
-                self[word] = got
+                if len(word) <= LONG:
+                    self[word] = got
                 return got
 
         cache = Sums()
