@@ -9,6 +9,8 @@ components count as the value at the reading depth). A query stops once few cand
 the k-th best lower bound: the outsiders cannot qualify, and the final scores of the rest are resolved.
 The shards' lists of k are merged by a ranking per query. Exact for any data; only the depth depends on it.
 
+Scores beyond 64 bits count as the largest or smallest such number.
+
 Defined results: vectors null, empty or holding null or non-finite components take no part, as queries or
 candidates; a shorter vector counts as padded with zeros; rows that repeat a vec_id are rows of their own (a
 query excludes only its own row); rows with a null vec_id take no part, since they cannot be reported;
@@ -58,22 +60,24 @@ def nra(x: np.ndarray, q: np.ndarray, k: int) -> list[np.ndarray]:
     out: list = [None] * nq
     up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
     worst = (lists[0] * up + lists[-1] * down).sum(axis=1)
-    live, depth = np.arange(nq), max(32, n // 32)
+    live, depth, left = np.arange(nq), max(32, n // 32), np.arange(n)  # queries, reading depth, candidates that may still qualify somewhere
     while len(live):
         depth = min(depth, n)
         high, low = lists[n - depth], lists[depth - 1]  # the values at the reading depth
-        read_high, read_low = values >= high, values <= low
+        own = values[left]
+        read_high, read_low = own >= high, own <= low
         p, m = up[live], down[live]
         # lower: read values, else the list's last; kept as an excess over the all-last sum
-        lower = (np.where(read_high, values - lists[0], 0.0) @ p.T + np.where(read_low, values - lists[-1], 0.0) @ m.T).T + worst[live, None]
-        upper = (np.where(read_high, values, high) @ p.T + np.where(read_low, values, low) @ m.T).T
+        lower = (np.where(read_high, own - lists[0], 0.0) @ p.T + np.where(read_low, own - lists[-1], 0.0) @ m.T).T + worst[live, None]
+        upper = (np.where(read_high, own, high) @ p.T + np.where(read_low, own, low) @ m.T).T
         slack = 1e-9 * (1.0 + np.abs(upper).max(axis=1))
-        bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else lower.min(axis=1)
+        bar = np.partition(lower, len(left) - k, axis=1)[:, len(left) - k] if len(left) > k else lower.min(axis=1)
         may = upper >= (bar - slack)[:, None]
         done = (may.sum(axis=1) <= max(LEFT, 2 * k)) | (depth == n)
         for i in np.flatnonzero(done):
-            out[live[i]] = np.flatnonzero(may[i])
-        live, depth = live[~done], depth * 2
+            out[live[i]] = left[may[i]]
+        # Outsiders to all open queries are read no further; the k best lower bounds are never among them.
+        live, depth, left = live[~done], depth * 2, left[may[~done].any(axis=0)]
     return out
 
 
