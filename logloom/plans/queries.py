@@ -253,6 +253,23 @@ def call_outcomes(spark, sf_dir):
     return identity.http_outcomes(identity.related_lines(v, identity.call_map(v))).select("call", "http_status", "outcome")
 
 
+@query("select concat('corr:c', o_orderkey) as call, case when o_orderkey % 9 = 0 then null when o_orderkey % 10 = 0 then 500 else 200 end as http_status, case when o_orderkey % 9 = 0 then 'awaiting' when o_orderkey % 10 = 0 then 'failed' else 'completed' end as outcome from orders")
+def call_outcomes_over_entries(spark, sf_dir):
+    """The gateway writes its trace id on a line of its own: only the joined entry ties it to the call."""
+    v = view(spark, sf_dir, "v_calls")
+    lines = v.select("stream", "ts_ms", "o_orderkey", "log_id", F.posexplode(F.split("raw", " (?=x-amzn)")).alias("line_no", "raw"))
+    e = logs.entries(lines, ["ts_ms", "o_orderkey", "log_id", "line_no"]).select("log_id", "ts_ms", "raw")
+    return identity.http_outcomes(identity.related_lines(e, identity.call_map(e))).select("call", "http_status", "outcome")
+
+
+@query("select log_id, cast(2 as bigint) as n_lines, md5(replace(raw, '<messageType>', concat(chr(10), '<messageType>'))) as text_hash from v_tx3", "v_tx3")
+def protocol_entries(spark, sf_dir):
+    """Messages over two lines, of which the protocol tells where one begins."""
+    lines = view(spark, sf_dir, "v_tx3").select("stream", "ts_ms", "log_id", F.posexplode(F.split("raw", "(?=<messageType>)")).alias("line_no", "raw"))
+    e = logs.entries(lines, ["ts_ms", "log_id", "line_no"], starts=F.col("raw").rlike(XML.starts_entry))
+    return e.select("log_id", F.col("n_lines").cast("long").alias("n_lines"), F.md5("raw").alias("text_hash"))
+
+
 @query("select concat('c', o_orderkey) as corr_id, 'calls' as application, 'REQUEST' as type from orders")
 def call_events(spark, sf_dir):
     return protocols.events(view(spark, sf_dir, "v_calls")).select("corr_id", "application", "type")
@@ -673,3 +690,9 @@ def redacted_documents(spark, sf_dir):
     aws = F.when(k % 9 == 0, F.concat(F.lit(" aws_secret_access_key = "), F.substring(h, 1, 40))).otherwise("")
     key = F.when(k % 13 == 0, "-----BEGIN RSA PRIVATE KEY-----").otherwise("")
     return d.select("doc_id", parsing.has_private_key(F.concat("text", key)).alias("blocked"), F.md5(parsing.redact_secrets(F.concat("text", token, jwt, aws))).alias("redacted"))
+
+
+@query("select event_id, concat(strftime(ts, '%Y-%m-%dT%H:%M:%S.'), lpad(cast((epoch_us(ts) // 1000) % 1000 as varchar), 3, '0'), 'Z') as at, case when user_id % 1440 = 0 then concat(user_id // 1440, ' days') when user_id % 60 = 0 then concat(user_id // 60, ' hours') else concat(user_id, ' minutes') end as took from events")
+def report_times(spark, sf_dir):
+    ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", parsing.iso_time(ms).alias("at"), parsing.humanised_minutes(F.col("user_id")).alias("took"))

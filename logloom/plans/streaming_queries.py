@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logloom import streaming
-from logloom.plans.queries import XML, query
+from logloom.plans.queries import XML, query, xml_transactions
+from logloom.plans.views import view
 
 OK_CODES = frozenset({"OK", "SUCCESS", "PROCESSED_SUCCESSFULLY", "ACCEPTED", "COMPLETE", "COMPLETED"})
 
@@ -43,3 +44,8 @@ def stream_transactions(spark, sf_dir):
     e = o.select(F.concat(F.lit("m"), k).alias("corr_id"), F.lit("xml").alias("application"), F.explode(F.filter(three, lambda x: x.isNotNull())).alias("e")).select("corr_id", "application", "e.*")
     out = streaming.run_once(streaming.transactions(e, XML, OK_CODES), "update", timers=True)
     return out.groupBy("corr_id").agg(F.max_by(F.struct("status", "ack_code", "spawned_at"), "batch").alias("s")).select("corr_id", "s.*")
+
+
+@query("select concat('tx:', corr_id) as fingerprint, case when final = 'failed' then 'high' else 'medium' end as severity, corr_id from ruled where final in ('failed', 'error') and not exists (select 1 from v_anomalies a where a.fingerprint = concat('tx:', corr_id))", "v_tx3", "tx", "ruled", "v_anomalies")
+def failure_reports(spark, sf_dir):
+    return streaming.report_failures(xml_transactions(spark, sf_dir), view(spark, sf_dir, "v_anomalies"))

@@ -91,8 +91,8 @@ def transactions(events: DataFrame, app: Protocol, ok_codes: frozenset[str], clo
     return keyed.groupBy("corr_id").applyInPandasWithState(step, TRANSACTION, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def report_failures(batch: DataFrame, transactions: DataFrame, anomalies: DataFrame) -> DataFrame:
-    """Findings for closed failures that have none yet: driven by the tables, not by the batch, so it heals itself."""
+def report_failures(transactions: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """Findings for closed failures that have none yet: for use after each batch; driven by the tables, not by the batch, so it heals itself."""
     closed = transactions.where(F.col("status").isin("failed", "error")).withColumn("fingerprint", F.concat(F.lit("tx:"), "corr_id"))
     new = closed.join(anomalies.select("fingerprint"), "fingerprint", "left_anti")
     return new.select("fingerprint", F.when(F.col("status") == "failed", "high").otherwise("medium").alias("severity"), "corr_id").dropDuplicates(["fingerprint"])

@@ -144,3 +144,16 @@ def test_transaction_lines_make_no_clusters(spark):
     lines = ["INFO correlationID: c9; Response from Data Services failed with error", "plain error in worker"]
     df = spark.createDataFrame([("cloudwatch", "s", i, x, None) for i, x in enumerate(lines)], sources.RECORD)
     assert [r.n_logs for r in logs.category_clusters(parsing.parse(df)).collect()] == [1]
+
+
+def test_append_clear_and_fold(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x", 1, None), ("b", "x", 2, "OK")], "corr_id string, application string, first_seen_at int, ack_code string")
+    path = str(tmp_path / "t")
+    tables.append(df, path, "application")
+    tables.append(df, path, "application")
+    assert spark.read.parquet(path).count() == 4
+    tables.clear(df, path)
+    assert spark.read.schema(df.schema).parquet(path).count() == 0
+    new = spark.createDataFrame([("b", "y", 9, None), ("c", "y", 9, "NO")], df.schema)
+    got = {r.corr_id: (r.application, r.first_seen_at, r.ack_code) for r in streaming.fold_updates(df, new).collect()}
+    assert got["a"] == ("x", 1, None) and got["b"] == ("x", 2, "OK") and got["c"] == ("y", 9, "NO")
