@@ -25,6 +25,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared_root(spark)
 
 
+#: Shuffle files go when the statement that made them ends. What is written is read back from there, never from a shuffle.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -32,7 +36,12 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/logloom-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
     back = spark.read.schema(df.schema).parquet(path)
