@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from .line_dedup import op7_line_dedup
 from .lm_scoring import op4_lm_scoring
+from .manifest import ORACLE as MERKLE_SQL
+from .manifest import op13_merkle
 from .mixing import op3_mixing
 from .near_dedup import op8_near_dedup
 from .packing import op5_packing
 from .private_data import op6_private_data
 from .quality_classifier import op2_quality
 from .quality_rules import op10_quality_rules
+from .simhash import op12_simhash
+from .spelling import ORACLE as SPELLING_SQL
+from .spelling import op11_spelling
 from .topk import ORACLE as TOPK_SQL
 from .topk import op1_topk
 from .toxicity import op9_toxicity
@@ -25,6 +30,9 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op8_near_dedup": op8_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling": op11_spelling,
+    "op12_simhash": op12_simhash,
+    "op13_merkle": op13_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_topk": TOPK_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk": TOPK_SQL, "op11_spelling": SPELLING_SQL, "op13_merkle": MERKLE_SQL}
