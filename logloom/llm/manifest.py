@@ -159,7 +159,7 @@ def log_nodes(rounds: list[DataFrame], levels: int = LEVELS) -> DataFrame:
     for k, segments in enumerate(rounds):
         leaves_before = F.col("seg") * (1 << levels)
         first = 2 * leaves_before - F.bit_count(leaves_before)
-        at = F.posexplode(F.transform(F.sequence(F.lit(0), F.length("log") / 32 - 1), lambda i: F.substring("log", i * 32 + 1, F.lit(32))))
+        at = F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("log") / 32).cast("int") - 1), lambda i: F.substring("log", i * 32 + 1, F.lit(32))))
         nodes = segments.select("tree", F.lit(k).alias("round"), first.alias("_first"), at).select("tree", "round", (F.col("_first") + F.col("pos")).alias("position"), F.col("col").alias("digest"))
         out = nodes if out is None else out.union(nodes)
     return out
