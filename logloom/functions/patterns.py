@@ -76,6 +76,9 @@ ID_LEAD = r"(?i)^\S+\s+([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]
 ID_TRACE = r"(?i)(1-[0-9a-f]{8}-[0-9a-f]{24})"
 RECORD_DONE = r"\b(settled|complete[d]?|success(ful)?|posted|cleared|accepted)\b"
 RECORD_FAILED = r"\b(fail(ed)?|reject(ed)?|return(ed)?|cancel(l)?ed|error|unsettled)\b"
+#: Directives in the text that describes an application; the group holds the minutes.
+TIMEOUT_DIRECTIVE = r"(?i)inactivity timeout(?::|\s+of)?\s+(\d+)\s*minute"
+SLA_DIRECTIVE = r"(?i)expected within\s+(\d+)\s*minute"
 SECRETS = (
     (r"(?i)bearer\s+[A-Za-z0-9._~+/=-]{16,}", "{BEARER_TOKEN}"),
     (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "{JWT}"),

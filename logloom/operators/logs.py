@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logloom.functions import patterns as P
 from logloom.functions.parsing import category, once
 from logloom.functions.protocols import is_transaction_line
-from logloom.operators.shared import checkpointed
+from logloom.operators.shared import written
 
 ALPHA, MIN_WINDOW_MS = 0.3, 1000
 EVIDENCE, EXCERPT = 10, 800
@@ -95,7 +95,7 @@ def entries(lines: DataFrame, order: list[str], starts=None, strict_adjacency: b
         begins = begins | ~F.lag("stream").over(Window.orderBy(*order)).eqNullSafe(F.col("stream"))
     slices = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     flagged = lines.withColumn("_begins", F.coalesce(begins, F.lit(False)).cast("int")).repartitionByRange(slices, "stream", *order)
-    ranged = checkpointed(flagged.withColumn("_slice", F.spark_partition_id()))
+    ranged = written(flagged.withColumn("_slice", F.spark_partition_id()))
     counts = ranged.groupBy("stream", "_slice").agg(F.sum("_begins").alias("_n"), F.min_by("_begins", F.struct(*order)).alias("_first"))
     w = Window.partitionBy("stream").orderBy("_slice")  # a row per slice
     earlier = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,22 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder: its lineage ends there."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+def written(df: DataFrame, label: str = "step") -> DataFrame:
+    """df written to the shared folder and read back: its lineage ends there. The files go with `discard`, or when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/logloom-{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._logloom_path = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what `written` wrote for frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_logloom_path", None)
+        if path:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

@@ -41,14 +41,6 @@ def transition(t: DataFrame, app: Protocol, now: int) -> DataFrame:
     return out.withColumn("waiting_for", F.when(F.col("active"), F.get("missing", F.lit(0)))).withColumn("closed_at", F.when(F.col("active"), F.lit(None)).when(F.col("status") == "error", F.col("last_activity") + app.timeout_minutes * 60_000).otherwise(F.col("last_activity")).cast("long"))
 
 
-def fair_share(waiting: DataFrame, deadline: Column, budget: int) -> DataFrame:
-    """Round-robin over applications, most urgent first; `selected` for the first `budget`, the rest is backlog."""
-    w = Window.partitionBy("application").orderBy(deadline, "corr_id")
-    ranked = waiting.withColumn("turn", F.row_number().over(w)).withColumn("_deadline", deadline)
-    first = ranked.orderBy("turn", "_deadline", "application", "corr_id").limit(budget).select("application", "corr_id", F.lit(True).alias("_in"))
-    return ranked.join(first, ["application", "corr_id"], "left").withColumn("selected", F.coalesce("_in", F.lit(False))).drop("_in", "_deadline")
-
-
 def counts_by_app(t: DataFrame) -> DataFrame:
     return t.groupBy("application").agg(F.count(F.lit(1)).alias("spawned"), F.count_if(F.size("missing") < F.lit(2)).alias("advanced"), F.count_if(~F.col("active")).alias("closed"))
 

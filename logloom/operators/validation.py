@@ -80,21 +80,31 @@ def duplicate_followups(events: DataFrame, app: Protocol) -> DataFrame:
 def scorecard(validated: DataFrame) -> DataFrame:
     """Result counts per application and in total (application null)."""
     results = ("success", "failure", "completed_with_issues", "pending", "ai_suspected")
-    return validated.rollup("application").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("result") == r).alias(r) for r in results], F.count_if("sla_breached").alias("sla_breached"), F.count_if(F.size("delta") > 0).alias("with_delta"))
+    return validated.rollup("application").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("result") == r).alias(r) for r in results], F.count_if("sla_breached").alias("sla_breached"), F.count_if(F.size("delta") > 0).alias("with_delta"), F.round(F.avg("response_latency_ms"), 4).alias("mean_latency_ms"))
 
 
 def metrics(classified: DataFrame, *groups: str) -> DataFrame:
-    """Confusion counts and rates overall and per group column; classified: expected, flagged (booleans).
+    """Confusion counts and rates overall and per group column, in one pass; classified: expected, flagged (booleans).
 
     Precision and recall are 1 on empty sides, f1 is 0 if both are 0, accuracy is 1 without rows.
     """
     e, f = F.col("expected"), F.col("flagged")
     counts = [F.count_if(e & f).alias("tp"), F.count_if(~e & ~f).alias("tn"), F.count_if(~e & f).alias("fp"), F.count_if(e & ~f).alias("fn")]
-    parts = [classified.agg(*counts).withColumn("by", F.lit("all")).withColumn("value", F.lit("all"))]
-    parts += [classified.groupBy(F.col(g).cast("string").alias("value")).agg(*counts).withColumn("by", F.lit(g)) for g in groups]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if groups:
+        keys = [F.col(g).cast("string").alias(g) for g in groups]
+        sets = classified.select("expected", "flagged", *keys).groupingSets([[], *[[g] for g in groups]], *groups)
+        # A bit of the grouping id is set where that column does not take part.
+        every = (1 << len(groups)) - 1
+        place = {g: every - (1 << (len(groups) - 1 - k)) for k, g in enumerate(groups)}
+        out = sets.agg(*counts, F.grouping_id().alias("_set"))
+        by, value = F.when(F.col("_set") == every, "all"), F.when(F.col("_set") == every, "all")
+        for g, bits in place.items():
+            by, value = by.when(F.col("_set") == bits, g), value.when(F.col("_set") == bits, F.col(g))
+        out = out.select(by.alias("by"), value.alias("value"), "tp", "tn", "fp", "fn")
+        if classified.isEmpty():
+            out = classified.agg(*counts).select(F.lit("all").alias("by"), F.lit("all").alias("value"), "tp", "tn", "fp", "fn")
+    else:
+        out = classified.agg(*counts).select(F.lit("all").alias("by"), F.lit("all").alias("value"), "tp", "tn", "fp", "fn")
     rate = lambda a, b: F.when(b == 0, 1.0).otherwise(a / F.nullif(b, F.lit(0)))
     tp, total = F.col("tp"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
     out = out.withColumn("precision", rate(tp, tp + F.col("fp"))).withColumn("recall", rate(tp, tp + F.col("fn")))

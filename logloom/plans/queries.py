@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import parsing, protocols
 from logloom.functions import patterns as P
-from logloom.operators import claims, identity, logs, similarity, tables, transactions, validation
+from logloom.operators import claims, identity, lifecycle, logs, similarity, tables, transactions, validation
 from logloom.plans.views import duckdb_sql, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,8 @@ XML = protocols.XML_APP
 
 def query(sql: str | None = None, *views: str):
     def register(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql is not None:
             ctes = [f"{v} as ({EXTRA[v] if v in EXTRA else duckdb_sql(v)})" for v in views]
@@ -237,8 +239,9 @@ def transaction_counts(spark, sf_dir):
 
 @query("select corr_id, spawned_at, turn from (select corr_id, spawned_at, row_number() over (order by last_activity + 1800000, corr_id) as turn from ruled where final = 'error') x where turn <= 50", "v_tx3", "tx", "ruled")
 def fair_share_selection(spark, sf_dir):
-    t = xml_transactions(spark, sf_dir).where("status = 'error'")
-    return transactions.fair_share(t, F.col("last_activity") + 1_800_000, 50).where("selected").select("corr_id", "spawned_at", "turn")
+    t = xml_transactions(spark, sf_dir).where("status = 'error'").withColumn("deadline", F.col("last_activity") + 1_800_000)
+    chosen, _ = lifecycle.hand_off(t.select("application", "corr_id", "spawned_at", "deadline"), 50)
+    return chosen.select("corr_id", "spawned_at", "turn")
 
 
 @query("select corr_id, log_id, place from (select concat('m', substr(log_id, 2)) as corr_id, log_id, row_number() over (partition by substr(log_id, 2) order by case when raw like '%FAILED%' then 0 else 1 end, ts_ms, log_id) as place from v_tx3) x where place <= 2", "v_tx3")
@@ -406,7 +409,7 @@ def validate_transactions(spark, sf_dir):
 
 
 @query(
-    "select application, count(*) as total, count(case when result = 'success' then 1 end) as success, count(case when result = 'failure' then 1 end) as failure, count(case when result = 'completed_with_issues' then 1 end) as completed_with_issues, count(case when breached then 1 end) as sla_breached, count(case when n_delta > 0 then 1 end) as with_delta from val group by rollup(application)",
+    "select application, count(*) as total, count(case when result = 'success' then 1 end) as success, count(case when result = 'failure' then 1 end) as failure, count(case when result = 'completed_with_issues' then 1 end) as completed_with_issues, count(case when breached then 1 end) as sla_breached, count(case when n_delta > 0 then 1 end) as with_delta, round(avg(case when ts_ack is not null and ts_response is not null then latency end), 4) as mean_latency_ms from val group by rollup(application)",
     "v_tx3", "tx", "ruled", "sev", "val",
 )
 def validation_scorecard(spark, sf_dir):

@@ -79,7 +79,7 @@ def review_scorecard(spark, sf_dir):
 
 
 @query("select application, count(*) as n, " + ", ".join(f"count(*) filter (where result = '{r}') as n_{r}" for r in RESULTS) + f", count(*) filter (where reviewed) as reviewed, cast(sum(n_discarded) as bigint) as rejected, count(*) filter (where failed) as failed, count(*) filter (where suppressed) as suppressed from ({REVIEWS}) v group by rollup(application)")
-def validation_scorecard(spark, sf_dir):
+def review_scorecard_by_application(spark, sf_dir):
     return telemetry.validation_scorecard(_reviews(spark, sf_dir), RESULTS)
 
 

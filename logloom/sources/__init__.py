@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +14,17 @@ RECORD = "source string, stream string, ts_ms long, raw string, attributes map<s
 ORDER = ("source", "stream", "ts_ms", "raw", "attributes")
 
 
-def read_cloudwatch(spark: SparkSession, path: str, since: int | None = None, until: int | None = None, pattern: str | None = None, groups: list[str] | None = None, limit: int | None = None) -> DataFrame:
+def _files(spark: SparkSession, stream: bool):
+    """Files that are there, or a stream of those that come."""
+    return spark.readStream if stream else spark.read
+
+
+def read_cloudwatch(spark: SparkSession, path: str, since: int | None = None, until: int | None = None, pattern: str | None = None, groups: list[str] | None = None, limit: int | None = None, stream: bool = False) -> DataFrame:
     """Exported events, one JSON object a line: logGroupName, logStreamName, timestamp, message.
 
     groups may end in one * (all groups with that prefix); a group without events gives nothing.
     """
-    df = spark.read.schema("logGroupName string, logStreamName string, timestamp long, message string").json(path)
+    df = _files(spark, stream).schema("logGroupName string, logStreamName string, timestamp long, message string").json(path)
     if groups is not None:
         wanted = F.lit(False)
         for g in dict.fromkeys(groups):
@@ -29,19 +37,19 @@ def read_cloudwatch(spark: SparkSession, path: str, since: int | None = None, un
     return bounded(out, since, until, limit)
 
 
-def read_splunk(spark: SparkSession, path: str, ingest_ms: int, index: str = "main") -> DataFrame:
+def read_splunk(spark: SparkSession, path: str, ingest_ms: int, index: str = "main", stream: bool = False) -> DataFrame:
     """NDJSON of search results; a line that is not JSON is kept as raw text at ingest time."""
     parsed = F.from_json("value", "result struct<_raw:string,_time:string,source:string,host:string>")
-    df = spark.read.text(path).where(F.trim("value") != "").withColumn("r", parsed["result"])
+    df = _files(spark, stream).text(path).where(F.trim("value") != "").withColumn("r", parsed["result"])
     seconds = F.unix_millis(F.try_to_timestamp("r._time"))
     ts = F.coalesce(F.floor(F.col("r._time").try_cast("double") * 1000).cast("long"), seconds, F.lit(ingest_ms))
     attributes = F.map_filter(F.map_from_arrays(F.array(F.lit("source"), F.lit("host")), F.array("r.source", "r.host")), lambda k, v: v.isNotNull())
     return df.select(F.lit("splunk").alias("source"), F.lit(index).alias("stream"), ts.alias("ts_ms"), F.coalesce("r._raw", "value").alias("raw"), F.coalesce(attributes, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("attributes"))
 
 
-def read_loki(spark: SparkSession, path: str) -> DataFrame:
+def read_loki(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """A query-range answer: data.result[].stream (labels) and .values[] of (nanoseconds, line)."""
-    df = spark.read.option("multiLine", True).schema("data struct<result:array<struct<stream:map<string,string>,values:array<array<string>>>>>").json(path)
+    df = _files(spark, stream).option("multiLine", True).schema("data struct<result:array<struct<stream:map<string,string>,values:array<array<string>>>>>").json(path)
     s = df.select(F.explode("data.result").alias("r")).select(F.col("r.stream").alias("labels"), F.explode("r.values").alias("v"))
     ns = F.get("v", F.lit(0)).cast("long")
     return s.select(F.lit("grafana").alias("source"), F.to_json("labels").alias("stream"), F.floor(ns / 1_000_000).cast("long").alias("ts_ms"), F.get("v", F.lit(1)).alias("raw"), F.col("labels").alias("attributes"))
@@ -54,9 +62,9 @@ def extract_email_text(raw):
     return F.substring(F.trim(F.regexp_replace(body, "=\r\n", "")), 1, 4000)
 
 
-def read_email(spark: SparkSession, path: str, since: int | None = None) -> DataFrame:
+def read_email(spark: SparkSession, path: str, since: int | None = None, stream: bool = False) -> DataFrame:
     """One file is one message; its time is the file's modification time."""
-    df = spark.read.format("binaryFile").load(path)
+    df = _files(spark, stream).format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
     raw = extract_email_text(F.decode("content", "UTF-8"))
     out = df.select(F.lit("email").alias("source"), F.lit("inbox").alias("stream"), F.unix_millis("modificationTime").alias("ts_ms"), raw.alias("raw"), F.map_from_arrays(F.array(F.lit("key")), F.array("path")).alias("attributes"))
     return bounded(out, since)
@@ -71,17 +79,25 @@ def bounded(records: DataFrame, since: int | None = None, until: int | None = No
     return records if limit is None else records.orderBy("ts_ms", "stream", "raw").limit(limit)
 
 
-def all_sources(spark: SparkSession, readers: list) -> tuple[DataFrame, list[str]]:
-    """Union of the readers' records; a reader that fails adds nothing and its error is returned."""
-    out, errors = spark.createDataFrame([], RECORD), []
-    for reader in readers:
+def all_sources(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]], folder: str) -> tuple[DataFrame, DataFrame]:
+    """(records, errors): the records of all sources that can be read, and (source, error) of those that cannot.
+
+    Each source is written to `folder` by a job of its own, side by side, so one that fails, before or while it is read, adds nothing and
+    stops no other. What was written is read back.
+    """
+
+    def write(name: str) -> str | None:
         try:
-            df = reader()
-            df.schema  # noqa: B018  analysis errors (a missing path) show here
-            out = out.unionByName(df.select(*ORDER), allowMissingColumns=True)
+            readers[name]().select(*ORDER).write.mode("overwrite").parquet(f"{folder}/{name}")
         except Exception as e:  # noqa: BLE001  one source must not stop the others
-            errors.append(f"{type(e).__name__}: {e}")
-    return out, errors
+            return f"{type(e).__name__}: {str(e).splitlines()[0]}"
+        return None
+
+    with ThreadPoolExecutor(max(1, len(readers))) as pool:
+        said = dict(zip(readers, pool.map(write, readers), strict=True))
+    good = [f"{folder}/{n}" for n, e in said.items() if e is None]
+    records = spark.read.schema(RECORD).parquet(*good) if good else spark.createDataFrame([], RECORD)
+    return records, spark.createDataFrame([(n, e) for n, e in said.items() if e], "source string, error string")
 
 
 def valid(records: DataFrame) -> tuple[DataFrame, DataFrame]:

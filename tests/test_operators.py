@@ -95,8 +95,11 @@ def test_sources(spark, tmp_path):
     assert [(r.ts_ms, r.raw) for r in sources.read_loki(spark, str(tmp_path / "loki.json")).collect()] == [(1, "a"), (3, "b")]
     mail = sources.read_email(spark, str(tmp_path / "mail"))
     assert mail.first().raw == "softwrap"
-    both, errors = sources.all_sources(spark, [lambda: cw, lambda: spark.read.json(str(tmp_path / "missing")), lambda: mail])
-    assert both.count() == 2 and len(errors) == 1
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.json.gz").write_bytes(b"not a gzip file")
+    readers = {"cloudwatch": lambda: cw, "none": lambda: spark.read.json(str(tmp_path / "missing")), "corrupt": lambda: sources.read_cloudwatch(spark, str(tmp_path / "bad")), "email": lambda: mail}
+    both, errors = sources.all_sources(spark, readers, str(tmp_path / "out"))
+    assert both.count() == 2 and {r.source for r in errors.collect()} == {"none", "corrupt"}
     good, bad = sources.valid(both.withColumn("source", F.when(F.col("source") == "email", "fax").otherwise(F.col("source"))))
     assert good.count() == 1 and bad.count() == 1
 
