@@ -66,30 +66,31 @@ def edge_table(words: DataFrame, direction: int) -> DataFrame:
 
 def _spells(start: Column, length: Column, label: Column) -> Column:
     """Whether the state's word has that label at a place (from 0)."""
-    return (start + length <= F.col("size")) & (F.xxhash64(F.substring("spelt", (start + 1).cast("int"), length.cast("int"))) == label)
+    return (start + length <= F.length("spelt")) & (F.xxhash64(F.substring("spelt", (start + 1).cast("int"), length.cast("int"))) == label)
 
 
 def frontier(words: DataFrame, edges: DataFrame, direction: int) -> DataFrame:
-    """(word, end): words with the last nodes of words one edit away. words: word, spelt, size."""
+    """(spelt, end): words with the last nodes of words one edit away. words: spelt, size.
+
+    A state is (spelt, pos, len, node): len is how long the words of its trie are, and the node's prefix has pos + len - size characters.
+    """
     half = F.floor(F.col("size") / 2) if direction == FORWARD else F.ceil(F.col("size") / 2)
-    own = words.select("word", "spelt", "size", F.explode(F.sequence(half, F.col("size"))).alias("pos"))
+    own = words.select("spelt", "size", F.explode(F.sequence(half.cast("int"), F.col("size"))).alias("pos"))
     prefix, char = F.substring("spelt", F.lit(1), F.col("pos")), F.substring("spelt", F.col("pos") + 1, F.lit(1))
     after = F.substring("spelt", F.col("pos") + 2, F.lit(1))
-    state = ["word", "spelt", "size", "pos", "depth", "node", "len"]
-    # len: how long the words of the state's trie are; depth: how long the prefix of its node is.
     size, pos = F.col("size"), F.col("pos")
-    less = own.where((pos < size) & (char != after)).select("word", "spelt", "size", (pos + 1).alias("pos"), pos.alias("depth"), _node(direction, size - 1, prefix).alias("node"), (size - 1).alias("len"))
+    less = own.where((pos < size) & (char != after)).select("spelt", (pos + 1).alias("pos"), (size - 1).alias("len"), _node(direction, size - 1, prefix).alias("node"))
     turns = own.withColumn("len", F.explode(F.array(size, size + 1))).where((pos < size) | (F.col("len") > size))
-    turns = turns.withColumn("node", _node(direction, F.col("len"), prefix)).withColumn("own", char).join(edges, "node").where(F.col("char") != F.col("own"))
-    taken = pos + (F.col("len") == size).cast("int")  # the word's own character goes, or the other is put before it
-    turns = turns.where(_spells(taken, F.col("step") - 1, F.col("label"))).select("word", "spelt", "size", (taken + F.col("step") - 1).alias("pos"), (pos + F.col("step")).alias("depth"), F.col("child").alias("node"), "len")
-    states = materialize(less.select(*state).union(turns.select(*state)), "states")
+    turns = turns.withColumn("node", _node(direction, F.col("len"), prefix)).withColumn("own", char).drop("size").join(edges, "node").where(F.col("char") != F.col("own"))
+    taken = pos + (F.col("len") == F.length("spelt")).cast("int")  # the word's own character goes, or the other is put before it
+    turns = turns.where(_spells(taken, F.col("step") - 1, F.col("label"))).select("spelt", (taken + F.col("step") - 1).alias("pos"), "len", F.col("child").alias("node"))
+    states = materialize(less.union(turns), "states")
     ends = []
+    at_end = pos == F.length("spelt")  # the node is then as deep as its trie
     while True:
-        ends.append(states.where("depth = len").select("word", F.col("node").alias("end")))
-        char = F.substring("spelt", F.col("pos") + 1, F.lit(1))
-        moved = states.where("depth < len").withColumn("char", char).join(edges, ["node", "char"]).where(_spells(pos + 1, F.col("step") - 1, F.col("label")))
-        states = materialize(moved.select("word", "spelt", "size", (pos + F.col("step")).alias("pos"), (F.col("depth") + F.col("step")).alias("depth"), F.col("child").alias("node"), "len"), "states")
+        ends.append(states.where(at_end).select("spelt", F.col("node").alias("end")))
+        moved = states.where(~at_end).withColumn("char", char).join(edges, ["node", "char"]).where(_spells(pos + 1, F.col("step") - 1, F.col("label")))
+        states = materialize(moved.select("spelt", (pos + F.col("step")).alias("pos"), "len", F.col("child").alias("node")), "states")
         if states.isEmpty():
             break
     out = ends[0]
@@ -102,11 +103,11 @@ def neighbours(words: DataFrame) -> DataFrame:
     """(word, near): all pairs, in both orders, that differ by one inserted, deleted or replaced code point. words: word, distinct."""
     found = None
     for direction in (FORWARD, BACKWARD):
-        spelt = F.col("word") if direction == FORWARD else F.reverse("word")
-        sized = words.select("word", spelt.alias("spelt"), F.length("word").alias("size"))
+        turned = (lambda c: F.col(c)) if direction == FORWARD else F.reverse
+        sized = words.select(turned("word").alias("spelt"), F.length("word").alias("size"))
         edges = materialize(edge_table(sized, direction), "edges")
-        ends = sized.select(F.col("word").alias("near"), _node(direction, F.col("size"), F.col("spelt")).alias("end"))
-        pairs = frontier(sized, edges, direction).join(ends, "end").where(F.levenshtein("word", "near", 1) == 1).select("word", "near")
+        ends = sized.select(F.col("spelt").alias("other"), _node(direction, F.col("size"), F.col("spelt")).alias("end"))
+        pairs = frontier(sized, edges, direction).join(ends, "end").where(F.levenshtein("spelt", "other", 1) == 1).select(turned("spelt").alias("word"), turned("other").alias("near"))
         found = pairs if found is None else found.union(pairs)
     return found.distinct()
 
