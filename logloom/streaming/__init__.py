@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.functions.protocols import Protocol
 from logloom.operators import tables
@@ -18,6 +18,7 @@ from logloom.operators.shared import shared_root
 
 TRANSACTION = "corr_id string, application string, status string, waiting_for string, phase_ts string, ack_code string, spawned_at long, first_seen_at long, last_activity long"
 STATE = "application string, phase_ts string, ack_code string, spawned_at long, first_seen_at long, last_activity long, status string"
+NAMES, STATE_NAMES = ([f.split()[0] for f in fields.split(", ")] for fields in (TRANSACTION, STATE))
 
 
 def ingest(records: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -57,38 +58,64 @@ def advance(state: dict | None, events: pd.DataFrame, phases: tuple[str, ...], f
     return s or {}
 
 
-def transactions(events: DataFrame, app: Protocol, ok_codes: frozenset[str], clock: Callable[[GroupState], int] | None = None) -> DataFrame:
-    """Keyed state per corr_id: a row whenever a transaction changes or times out.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    Timers run on processing time, so they fire without input; `clock` replaces the time in tests.
-    """
-    timeout = app.timeout_minutes * 60_000
-    now_of = clock or (lambda state: state.getCurrentProcessingTimeMs())
-    phases = app.phases
-    names = [f.split()[0] for f in TRANSACTION.split(", ")]
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = now_of(state)
+class _Transactions(StatefulProcessor):
+    """One transaction's state and its timer. The timer fires on processing time, with or without input."""
+
+    def __init__(self, phases: tuple[str, ...], ok_codes: frozenset[str], timeout_ms: int, clock: Callable[[int], int] | None):
+        self.phases, self.ok_codes, self.timeout_ms, self.clock = phases, ok_codes, timeout_ms, clock
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("transaction", STATE)
+
+    def _step(self, key: tuple, events: pd.DataFrame, real_ms: int) -> Iterator[pd.DataFrame]:
+        now = self.clock(real_ms) if self.clock else real_ms
         before = None
-        if state.exists:
-            before = dict(zip((f.split()[0] for f in STATE.split(", ")), state.get, strict=True))
+        if self.state.exists():
+            before = dict(zip(STATE_NAMES, self.state.get(), strict=True))
             before["phase_ts"] = json.loads(before["phase_ts"])
-        parts = [] if state.hasTimedOut else list(batches)
-        events = pd.concat(parts) if parts else pd.DataFrame(columns=["ts_ms", "log_id", "type", "application", "ack_code"])
         events["ack_code"] = events["ack_code"].astype(object).where(events["ack_code"].notna(), None)
-        after = advance(before, events, phases, lambda c: c.upper() not in ok_codes, now, timeout)
-        if not after or after == before:
+        after = advance(before, events, self.phases, lambda c: c.upper() not in self.ok_codes, now, self.timeout_ms)
+        if not after:
             return
-        stored = {**after, "phase_ts": json.dumps(after["phase_ts"], sort_keys=True)}
-        state.update(tuple(stored[f.split()[0]] for f in STATE.split(", ")))
         active = after["status"] in ("awaiting", "undecided")
+        if before is None or after != before or active:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
         if active:
-            state.setTimeoutDuration(max(1, max(after["last_activity"], after["first_seen_at"]) + timeout - now + 1))
-        waiting = next((p for p in phases if p not in after["phase_ts"]), None) if active else None
-        yield pd.DataFrame([{**stored, "corr_id": key[0], "waiting_for": waiting}])[names]
+            # In the clock's time; the timer itself runs on the cluster's.
+            left = max(after["last_activity"], after["first_seen_at"]) + self.timeout_ms - now
+            self.handle.registerTimer(real_ms + max(1, left + 1))
+        if after == before:
+            return
+        stored = {**after, "phase_ts": json.dumps(after["phase_ts"], sort_keys=True)}
+        self.state.update(tuple(stored[n] for n in STATE_NAMES))
+        waiting = next((p for p in self.phases if p not in after["phase_ts"]), None) if active else None
+        yield pd.DataFrame([{**stored, "corr_id": key[0], "waiting_for": waiting}])[NAMES]
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        return self._step(key, pd.concat(list(rows)), timerValues.getCurrentProcessingTimeInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        return self._step(key, pd.DataFrame(columns=["ts_ms", "log_id", "type", "application", "ack_code"]), timerValues.getCurrentProcessingTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def transactions(events: DataFrame, app: Protocol, ok_codes: frozenset[str], clock: Callable[[int], int] | None = None, timeout_ms: int | None = None) -> DataFrame:
+    """Keyed state per corr_id: a row whenever a transaction changes or times out.
+
+    State lives in RocksDB and timers run on processing time, so they fire without input. `clock` turns the cluster's time into the time that
+    counts (as a replay does); it is asked again when a timer fires, which waits on if it is early.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     keyed = events.where(F.col("application") == app.id).select("corr_id", "application", "type", "ts_ms", "log_id", "ack_code")
-    return keyed.groupBy("corr_id").applyInPandasWithState(step, TRANSACTION, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    machine = _Transactions(app.phases, ok_codes, app.timeout_minutes * 60_000 if timeout_ms is None else timeout_ms, clock)
+    return keyed.groupBy("corr_id").transformWithStateInPandas(statefulProcessor=machine, outputStructType=TRANSACTION, outputMode="Update", timeMode="ProcessingTime")
 
 
 def report_failures(transactions: DataFrame, anomalies: DataFrame) -> DataFrame:

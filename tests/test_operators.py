@@ -160,3 +160,41 @@ def test_append_clear_and_fold(spark, tmp_path):
     new = spark.createDataFrame([("b", "y", 9, None), ("c", "y", 9, "NO")], df.schema)
     got = {r.corr_id: (r.application, r.first_seen_at, r.ack_code) for r in streaming.fold_updates(df, new).collect()}
     assert got["a"] == ("x", 1, None) and got["b"] == ("x", 2, "OK") and got["c"] == ("y", 9, "NO")
+
+
+def test_a_timer_fires_on_an_idle_batch_when_the_clock_says_so(spark, tmp_path):
+    import time
+
+    schema = "corr_id string, application string, type string, ts_ms long, log_id string, ack_code string"
+    spark.createDataFrame([("m1", "xml", "REQUEST", 1000, "l1", None)], schema).write.json(str(tmp_path / "in"))
+    (tmp_path / "now").write_text("2000")
+    now = str(tmp_path / "now")
+
+    def clock(_: int) -> int:
+        with open(now) as f:
+            return int(f.read())
+
+    events = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    stream = streaming.transactions(events, protocols.XML_APP, frozenset({"OK"}), clock, timeout_ms=1000)
+    seen = {}
+
+    def keep(df, batch):
+        for r in df.collect():
+            seen.setdefault(r.status, batch)
+
+    q = stream.writeStream.outputMode("update").trigger(processingTime="500 milliseconds").option("checkpointLocation", str(tmp_path / "checkpoint")).foreachBatch(keep).start()
+    try:
+        for wanted in ("awaiting", "error"):
+            end = time.time() + 60
+            while wanted not in seen and time.time() < end and q.isActive:
+                time.sleep(0.2)
+            if wanted == "awaiting":
+                # By the cluster's time the timer is due; by the clock nothing has happened yet.
+                time.sleep(4)
+                assert "error" not in seen
+                (tmp_path / "now").write_text("9000")
+        assert q.exception() is None and seen["error"] > seen["awaiting"]
+        rows = [p["numInputRows"] for p in q.recentProgress if p["batchId"] == seen["error"]]
+        assert not rows or rows == [0]
+    finally:
+        q.stop()
