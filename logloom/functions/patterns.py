@@ -5,6 +5,10 @@ Fixed values: all lists and patterns in this module are given and must stay as t
 
 from __future__ import annotations
 
+import re
+import re._constants as sre
+from functools import lru_cache
+
 SOURCES = ("cloudwatch", "splunk", "grafana", "email")
 LEVELS = ("trace", "debug", "info", "warn", "error", "fatal", "unknown")
 SEVERITIES = ("info", "low", "medium", "high", "critical")
@@ -88,9 +92,70 @@ PRIVATE_KEY = r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"
 
 # End of fixed values.
 
-_EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+_WORD = "[0-9A-Za-z_]"
+_OPENS, _CLOSES = f"(?<!{_WORD})", f"(?!{_WORD})"
+_EDGE = f"(?:{_OPENS}(?={_WORD})|(?<={_WORD}){_CLOSES})"
+_MARK = 0xE000
+
+
+def _is_word(op, value) -> bool:
+    """Whether a pattern's element for one character takes ASCII word characters only."""
+    if op is sre.LITERAL:
+        return value < 128 and (chr(value).isalnum() or value == ord("_"))
+    if op is sre.RANGE:
+        return all(_is_word(sre.LITERAL, x) for x in range(value[0], value[1] + 1))
+    if op is sre.CATEGORY:
+        return value in (sre.CATEGORY_WORD, sre.CATEGORY_DIGIT)
+    return op is sre.IN and all(_is_word(*x) for x in value)
+
+
+def _meets_word(items: list) -> bool:
+    """Whether what the elements match, read in the order given, begins with a word character for certain."""
+    for op, value in items:
+        step = -1 if getattr(items, "backwards", False) else 1
+        if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            least, _, inner = value
+            if not _meets_word(_Way(inner, step)):
+                return False
+            if least:
+                return True
+        elif op is sre.SUBPATTERN:
+            return _meets_word(_Way(value[3], step))
+        elif op is sre.BRANCH:
+            return all(_meets_word(_Way(x, step)) for x in value[1])
+        else:
+            return _is_word(op, value)
+    return False
+
+
+class _Way(list):
+    """A sequence of elements, read forwards or backwards."""
+
+    def __init__(self, items, step: int):
+        super().__init__(list(items)[::step])
+        self.backwards = step < 0
+
+
+def _edges(items) -> dict[int, str]:
+    """For each marked word boundary of a parsed pattern: the half that is enough where a word character must follow or precede it, else both."""
+    items, found = list(items), {}
+    for i, (op, value) in enumerate(items):
+        if op is sre.LITERAL and value >= _MARK:
+            found[value] = _OPENS if _meets_word(_Way(items[i + 1 :], 1)) else _CLOSES if _meets_word(_Way(items[:i], -1)) else _EDGE
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            found |= _edges(value[2])
+        elif op is sre.SUBPATTERN:
+            found |= _edges(value[3])
+        elif op is sre.BRANCH:
+            for x in value[1]:
+                found |= _edges(x)
+    return found
 
 
+@lru_cache(maxsize=None)
 def jvm(pattern: str) -> str:
     r"""The pattern for Spark, whose own \b knows Unicode letters: boundaries between ASCII word characters."""
-    return pattern.replace(r"\b", _EDGE)
+    parts = pattern.split(r"\b")
+    marks = [chr(_MARK + k) for k in range(len(parts) - 1)]
+    found = _edges(re._parser.parse("".join(x for pair in zip(parts, [*marks, ""], strict=True) for x in pair)))
+    return "".join(x + found.get(ord(m), _EDGE) if m else x for x, m in zip(parts, [*marks, ""], strict=True))

@@ -38,3 +38,9 @@ def discard(*frames: DataFrame) -> None:
         if path:
             folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, for costly expressions over a scan that came in fewer; as it is where it came in more."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logloom.functions import parsing, protocols
 from logloom.functions import patterns as P
 from logloom.operators import claims, identity, lifecycle, logs, similarity, tables, transactions, validation
+from logloom.operators.shared import spread
 from logloom.plans.views import duckdb_sql, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,11 +75,11 @@ select *, {_CATEGORY} as category from (
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.parse(view(spark, sf_dir, "v_logs"))
+    return parsing.parse(spread(view(spark, sf_dir, "v_logs")))
 
 
 def xml_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions.assemble(protocols.events(view(spark, sf_dir, "v_tx3").drop("t"), (XML,)), XML, NOW)
+    return transactions.assemble(protocols.events(spread(view(spark, sf_dir, "v_tx3").drop("t")), (XML,)), XML, NOW)
 
 
 def severities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +253,7 @@ def evidence_ranking(spark, sf_dir):
 
 @query("select concat('corr:c', o_orderkey) as call, case when o_orderkey % 9 = 0 then null when o_orderkey % 10 = 0 then 500 else 200 end as http_status, case when o_orderkey % 9 = 0 then 'awaiting' when o_orderkey % 10 = 0 then 'failed' else 'completed' end as outcome from orders")
 def call_outcomes(spark, sf_dir):
-    v = view(spark, sf_dir, "v_calls")
+    v = spread(view(spark, sf_dir, "v_calls"))
     return identity.http_outcomes(identity.related_lines(v, identity.call_map(v))).select("call", "http_status", "outcome")
 
 
