@@ -29,8 +29,6 @@ from .common import materialize, read
 SHARD, BLOCK = 4096, 512
 #: Reading ends when this many candidates are left for a query; their scores are resolved exactly.
 LEFT = 64
-#: Products of larger components could leave 64-bit numbers; Python integers take over.
-WIDE = 1 << 26
 
 
 def _stack(vectors: pd.Series, width: int) -> np.ndarray:
@@ -42,10 +40,11 @@ def _stack(vectors: pd.Series, width: int) -> np.ndarray:
 
 def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Exact inner products of all rows of x with all of q."""
-    top = max(int(np.abs(x).max(initial=0)), int(np.abs(q).max(initial=0)))
-    if top <= 1 << 23:
-        return (x.astype(np.float64) @ q.T.astype(np.float64)).astype(np.int64)  # every sum is below 2**53
-    if top <= WIDE:
+    largest = [max(abs(int(v.max(initial=0))), abs(int(v.min(initial=0)))) for v in (x, q)]
+    most = x.shape[1] * largest[0] * largest[1]  # no sum on the way is beyond
+    if most < 1 << 53:
+        return (x.astype(np.float64) @ q.T.astype(np.float64)).astype(np.int64)
+    if most < 1 << 63:
         return x @ q.T
     return np.clip(x.astype(object) @ q.T.astype(object), -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
@@ -129,12 +128,12 @@ def op1_topk(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH usable AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), i -> q.v[i] * c.v[i]))::BIGINT AS score
+         list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
   FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
   WHERE q.vec_id % 100 = 0
 ), ranked AS (

@@ -183,3 +183,15 @@ def test_pipeline_on_empty_and_odd_tables(spark, tmp_path, kept):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} <= {1, None} and bool(got) == kept
+
+
+@pytest.mark.parametrize("width, top", [(4096, 1 << 26), (200, 1 << 23), (64, 1 << 20), (3, 1 << 40), (2, (1 << 62) + 5)])
+def test_wide_components_have_exact_scores(width, top):
+    """Inner products beyond 2**53 and beyond 64 bits, against Python integers."""
+    from logloom.llm.topk import _products
+
+    rng = np.random.default_rng(width)
+    x, q = (rng.integers(-top, top, (5, width), dtype=np.int64) for _ in range(2))
+    x[0], q[0] = top, top
+    want = [[min(max(sum(int(a) * int(b) for a, b in zip(r, s, strict=True)), -(1 << 63)), (1 << 63) - 1) for s in q] for r in x]
+    assert _products(x, q).tolist() == want
