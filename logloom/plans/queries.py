@@ -312,37 +312,6 @@ def undeduplicated_findings(spark, sf_dir):
     return recent.join(stored, "fingerprint", "left_anti").groupBy("fingerprint").agg(F.min_by("anomaly_id", F.struct("created_at", "anomaly_id")).alias("anomaly_id"))
 
 
-@query("select concat('m', l.o) as corr_id, count(distinct a.anomaly_id) as n, max(a.severity) as any_severity from (select o_orderkey as o, concat('l', o_orderkey) as log_id from orders) l join v_anomalies a on a.log_id = l.log_id where a.fingerprint not like 'tx:%' group by 1", "v_anomalies")
-def evidence_join(spark, sf_dir):
-    lines = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("m"), "o_orderkey").alias("corr_id"), F.concat(F.lit("l"), "o_orderkey").alias("log_id"))
-    a = view(spark, sf_dir, "v_anomalies").where(~F.col("fingerprint").startswith("tx:")).withColumn("evidence", F.array("log_id")).drop("log_id")
-    return a.withColumn("log_id", F.explode("evidence")).join(lines, "log_id").dropDuplicates(["corr_id", "anomaly_id"]).groupBy("corr_id").agg(F.count(F.lit(1)).alias("n"), F.max("severity").alias("any_severity"))
-
-
-@query("select corr_id, count(*) as n_lines, min(ts_ms) as first_ms from (select concat('m', substr(log_id, 2)) as corr_id, ts_ms from v_tx3) x group by 1", "v_tx3")
-def related_logs(spark, sf_dir):
-    e = protocols.events(view(spark, sf_dir, "v_tx3").drop("t"))
-    ids = e.select("application", "corr_id").distinct()
-    return e.join(ids, ["application", "corr_id"]).groupBy("corr_id").agg(F.count(F.lit(1)).alias("n_lines"), F.min("ts_ms").alias("first_ms"))
-
-
-@query("select event_id % 1000 as slot, max(event_id) as kept from events group by 1")
-def window_merge(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") % 1000).alias("slot"), "event_id")
-    stored, fresh = e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")
-    both = stored.unionByName(fresh)
-    r = F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("event_id")))
-    return both.withColumn("_r", r).where("_r = 1").select("slot", F.col("event_id").alias("kept"))
-
-
-@query("select cast(sum(n - 1) as bigint) as over_links, count(*) as logs from (select l_partkey, count(distinct l_orderkey) as n from lineitem group by 1 having count(distinct l_orderkey) > 1) x")
-def overlinked_logs(spark, sf_dir):
-    """Line items stand for claims of a log (part) by a transaction (order)."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    n = li.groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("n")).where("n > 1")
-    return n.agg(F.sum(F.col("n") - 1).alias("over_links"), F.count(F.lit(1)).alias("logs"))
-
-
 @query(
     "select r.corr_id, case when o_orderstatus = 'F' then 'completed' when o_orderstatus = 'P' then 'failed' else 'unknown' end as recorded, (o_orderstatus = 'F' and final in ('failed', 'error')) or (o_orderstatus = 'P' and final = 'completed') as mismatch from ruled r join orders o on r.corr_id = concat('m', o_orderkey)",
     "v_tx3", "tx", "ruled",
@@ -355,36 +324,6 @@ def reconcile_outcomes(spark, sf_dir):
     return t.select("corr_id", "recorded", bad.alias("mismatch"))
 
 
-@query("select conv_id, cited from (select conv_id, case when conv_id % 5 = 0 then concat('conv-x', conv_id) else concat('conv-', conv_id) end as cited from (select distinct conv_id from conversations) c) x where conv_id % 5 = 0")
-def ungrounded_citations(spark, sf_dir):
-    """Ids an answer cites that no log names, whole tokens only."""
-    ids = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct()
-    name = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("conv-x"), "conv_id")).otherwise(F.concat(F.lit("conv-"), "conv_id"))
-    answers = ids.select("conv_id", F.concat(F.lit("see correlationId="), name, F.lit(" for details")).alias("answer"))
-    log_tokens = ids.select(F.explode(F.split(F.concat(F.lit("call conv-"), "conv_id", F.lit(" finished")), r"[^A-Za-z0-9_.-]+")).alias("cited")).distinct()
-    cited = answers.select("conv_id", F.explode(F.regexp_extract_all("answer", F.lit(r"(?i)(?:correlationId|requestId|messageId|id)\s*[=:]\s*([A-Za-z0-9._-]{3,})"), F.lit(1))).alias("cited"))
-    return cited.join(log_tokens, "cited", "left_anti").select("conv_id", "cited")
-
-
-@query("select corr_id from ruled where final = 'completed' and corr_id not in (select concat('m', event_id) from events where @ >= 1)".replace("@", "event_id % 3"), "v_tx3", "tx", "ruled")
-def unreviewed(spark, sf_dir):
-    done = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 3 >= 1").select(F.concat(F.lit("m"), "event_id").alias("corr_id"))
-    return xml_transactions(spark, sf_dir).where("status = 'completed'").join(done, "corr_id", "left_anti").select("corr_id")
-
-
-@query("select o_orderkey, 2 as n_entries from orders where o_orderkey % 9 <> 0 and o_orderkey % 100 = 7")
-def focus_content(spark, sf_dir):
-    """Entries of chosen calls: by event id, by whole-token mention, each once, within a budget of characters."""
-    v = view(spark, sf_dir, "v_calls")
-    wanted = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 9 <> 0 and o_orderkey % 100 = 7").select("o_orderkey", F.concat(F.lit("c"), "o_orderkey").alias("name"))
-    by_event = protocols.events(v).join(wanted.select("name", F.col("o_orderkey").alias("o")), F.col("corr_id") == F.col("name")).select("o", "log_id", "ts_ms", "raw")
-    tokens = v.select("log_id", "ts_ms", "raw", F.explode(F.array_distinct(F.split("raw", r"[^A-Za-z0-9._-]+"))).alias("name"))
-    by_token = tokens.join(wanted.select("name", F.col("o_orderkey").alias("o")), "name").select("o", "log_id", "ts_ms", "raw")
-    both = by_event.unionByName(by_token).dropDuplicates(["o", "log_id"])
-    used = F.sum(F.length("raw")).over(Window.partitionBy("o").orderBy("ts_ms", "log_id"))
-    return both.withColumn("_used", used).where("_used <= 4000").groupBy(F.col("o").alias("o_orderkey")).agg(F.count(F.lit(1)).cast("int").alias("n_entries"))
-
-
 @query("select concat('corr:c', o_orderkey) as call from orders where o_orderkey % 9 <> 0 and o_orderkey % 3 = 1")
 def pending_signals(spark, sf_dir):
     """Active calls whose joined entries now carry an HTTP status."""
