@@ -132,15 +132,19 @@ def mix_documents(docs: DataFrame, size: Column | None = None, weights=WEIGHTS,
 
 
 def mixed_texts(docs: DataFrame) -> DataFrame:
-    """The mix itself: a row per document and pass, columns of docs; a cut document keeps its first words."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    size = F.size(words(F.col("text"))).cast("long")
-    sizes = materialize(rows.select("_row", "doc_id", "source", size.alias("size")), "sizes")
+    """The mix itself: a row per document and pass, columns of docs; a cut document keeps its first words.
+
+    Rows that repeat a doc_id, or have none, are documents of their own; a null text has no words and is never taken; columns of docs may
+    have any names.
+    """
+    rows = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "mix-rows")
+    own = words(F.col("_doc")["text"])
+    sizes = materialize(rows.select("_row", F.col("_doc")["doc_id"].alias("doc_id"), F.col("_doc")["source"].alias("source"), F.size(own).cast("long").alias("size")), "sizes")
     targets = materialize(source_targets(sizes), "targets")
     sent = mix(sizes, targets).select("_row", "size", "sent")
-    first_words = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("sent").cast("int")), " ")
-    text = F.when(F.col("sent") < F.col("size"), first_words).otherwise(F.col("text"))
-    return rows.join(sent, "_row").withColumn("text", text).select(*docs.columns)
+    first_words = F.array_join(F.slice(own, F.lit(1), F.col("sent").cast("int")), " ")
+    text = F.when(F.col("sent") < F.col("size"), first_words).otherwise(F.col("_doc")["text"])
+    return rows.join(sent, "_row").select(*[text.alias(c) if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -456,3 +456,11 @@ def test_pipeline_small(spark, tmp_path, docs, labels):
             at.write.parquet(str(tmp_path / name))
             at = spark.read.parquet(str(tmp_path / name))
     assert at.where("length > 4096").count() == 0 and at.count() > 0
+
+
+def test_mixed_texts_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d", "s", 7, 8, 9, 1.5), (1, "e f", "s", 1, 2, 3, 2.5), (None, "g h i", None, 4, 5, 6, 3.5), (4, None, "s", 0, 0, 0, 4.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, sent int, _row int, target double")
+    got = mixing.mixed_texts(docs).collect()
+    assert {(r.size, r.sent, r["_row"], r.target) for r in got} <= {(7, 8, 9, 1.5), (1, 2, 3, 2.5), (4, 5, 6, 3.5)}
+    assert sum(len(r.text.split()) for r in got) == 13 and all(r.text for r in got)
