@@ -28,7 +28,7 @@ def _matches(subject: pd.Series, pattern: pd.Series) -> pd.Series:
     return pd.Series([one(s, p) for s, p in zip(subject, pattern, strict=True)], dtype=bool)
 
 
-def _holds(op: Column, subject: Column, value: Column, patterns: bool) -> Column:
+def _holds(op: Column, subject: Column, value: Column) -> Column:
     low_s, low_v = F.lower(subject), F.lower(value)
     a, b = subject.try_cast("double"), value.try_cast("double")
     known = subject.isNotNull() & (value != "")
@@ -36,8 +36,6 @@ def _holds(op: Column, subject: Column, value: Column, patterns: bool) -> Column
         F.when(op == "lt", a < b).when(op == "gt", a > b).when(op == "contains", F.contains(low_s, low_v))
         .when(op == "not_contains", ~F.contains(low_s, low_v)).when(op == "equals", subject == value)
     )
-    if patterns:
-        test = test.when(op == "matches", (F.length(value) <= MAX_PATTERN) & _matches(F.when(op == "matches", subject), F.when(op == "matches", value)))
     return F.coalesce(known & test, F.lit(False))
 
 
@@ -53,7 +51,17 @@ def admit(claims: DataFrame, lines: DataFrame, patterns: bool = True) -> DataFra
     unknown = cited.join(lines.select("corr_id", "log_id"), ["corr_id", "log_id"], "left_anti").groupBy("claim_id").agg(F.min("log_id").alias("_unknown"))
     preds = c.select("claim_id", "corr_id", "evidence", F.explode("predicates").alias("p")).select("claim_id", "corr_id", "evidence", "p.*")
     subject = F.substring(F.coalesce(*[F.when(F.col("field") == f, F.col(x).cast("string")) for f, x in (("raw", "raw"), ("message", "message"), ("level", "level"), ("stream", "stream"), ("source", "source"), ("timestamp", "ts_ms"))]), 1, MAX_SUBJECT)
-    tested = preds.join(lines, ["corr_id", "log_id"], "left").withColumn("_ok", F.array_contains("evidence", F.col("log_id")) & _holds(F.col("op"), subject, F.col("value"), patterns))
+    cites, op, value = F.array_contains("evidence", F.col("log_id")), F.col("op"), F.col("value")
+    on_line = lambda p: p.join(lines, ["corr_id", "log_id"], "left")
+    tested = on_line(preds.where(~F.coalesce(op == "matches", F.lit(False)))).select("claim_id", (cites & _holds(op, subject, value)).alias("_ok"))
+    # Only claims' own patterns go through Python, and only those of a bounded length.
+    own = on_line(preds.where(op == "matches"))
+    if patterns:
+        usable = subject.isNotNull() & (value != "") & (F.length(value) <= MAX_PATTERN) & cites
+        fits = own.withColumn("_usable", F.coalesce(usable, F.lit(False)))
+        tested = tested.union(fits.where("not _usable").select("claim_id", F.lit(False))).union(fits.where("_usable").select("claim_id", _matches(subject, value)))
+    else:
+        tested = tested.union(own.select("claim_id", F.lit(False)))
     verdict = tested.groupBy("claim_id").agg(F.bool_and("_ok").alias("_all_hold"))
     low = lambda p: F.lower(F.coalesce(p["value"], F.lit("")))
     positive = F.exists("predicates", lambda p: p["op"] != "not_contains")

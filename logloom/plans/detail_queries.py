@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import parsing, protocols
 from logloom.functions import patterns as P
-from logloom.operators import tables, transactions, validation
+from logloom.operators import claims, reports, similarity, tables, transactions, validation
 from logloom.plans.queries import EXTRA, XML, _q, query
 from logloom.plans.views import view
 
@@ -130,3 +130,62 @@ def backfilled_phases(spark, sf_dir):
 def evidence_excerpts(spark, sf_dir):
     e = protocols.events(view(spark, sf_dir, "v_tx3").drop("t"), (XML,))
     return transactions.evidence_lines(e, F.lit(False), limit=1, cut=60).select("corr_id", "excerpt")
+
+
+def _xml_events(spark, sf_dir):
+    return protocols.events(view(spark, sf_dir, "v_tx3").drop("t"), (XML,))
+
+
+@query("select * from (select t as type, count(*) over (partition by t) as n, row_number() over (partition by t order by ts_ms, log_id) as place, log_id from v_tx3 where t in ('ACK', 'RESPONSE')) x where place <= 200", "v_tx3")
+def messages_by_phase(spark, sf_dir):
+    return reports.by_phase(_xml_events(spark, sf_dir), ("ACK", "RESPONSE")).select("type", "n", "place", "log_id")
+
+
+@query("select corr_id, concat('REQUEST+', case when a then concat(' ACK+', code) else ' ACK-' end, case when r then ' RESPONSE+COMPLETED' else ' RESPONSE-' end) as phases, concat_ws('; ', case when code = 'FAILED' then 'failed: ACK' end, case when not a or not r then concat('incomplete: ', concat_ws(',', case when not a then 'ACK' end, case when not r then 'RESPONSE' end)) end) as notes from (select concat('m', substr(log_id, 2)) as corr_id, bool_or(t = 'ACK') as a, bool_or(t = 'RESPONSE') as r, max(case when t = 'ACK' then regexp_extract(raw, '<ackCode>([A-Z]+)</ackCode>', 1) end) as code from v_tx3 group by 1) x", "v_tx3")
+def status_reports(spark, sf_dir):
+    return reports.status_of(_xml_events(spark, sf_dir), XML)
+
+
+_OPS = (
+    ("raw", "contains", "<ackcode>ok"), ("level", "equals", "info"), ("level", "equals", "INFO"), ("stream", "equals", "/app/payments"), ("source", "contains", "CLOUD"), ("timestamp", "gt", "0"), ("timestamp", "lt", "0"),
+    ("message", "matches", "ack(code)?>(ok|failed)"), ("raw", "matches", "failed<"), ("raw", "not_contains", "failed"), ("message", "gt", "1"), ("raw", "matches", "x" * 201),
+)
+EXTRA["predicates"] = "select o_orderkey as k, i, concat('a', o_orderkey) as log_id, case (o_orderkey + i) % 12 " + " ".join(f"when {n} then '{f}'" for n, (f, _, _) in enumerate(_OPS)) + " end as field, case (o_orderkey + i) % 12 " + " ".join(f"when {n} then '{o}'" for n, (_, o, _) in enumerate(_OPS)) + " end as op, case (o_orderkey + i) % 12 " + " ".join(f"when {n} then '{v}'" for n, (_, _, v) in enumerate(_OPS)) + " end as value from orders, unnest(range(0, case when o_orderkey % 13 = 0 then 12 else 1 + o_orderkey % 3 end)) u(i) where o_orderkey % 11 <> 0"
+
+
+@query(
+    """select claim_id, case when seq > 3 then 'too many claims' when n > 10 then 'too many predicates' when only_absent then 'no positive evidence' when repeats then 'co-occurrence only' when not holds then 'predicate failed' end as reason from (
+  select concat('c', k, '-', seq) as claim_id, seq, n, only_absent, repeats, holds from (
+    select k, count(*) as n, bool_and(op = 'not_contains') as only_absent, count(distinct concat_ws('|', field, op, lower(value))) < count(*) as repeats, bool_and(ok) as holds from (
+      select p.*, coalesce(case op when 'contains' then contains(lower(s), lower(value)) when 'not_contains' then not contains(lower(s), lower(value)) when 'equals' then s = value when 'lt' then try_cast(s as double) < try_cast(value as double)
+        when 'gt' then try_cast(s as double) > try_cast(value as double) when 'matches' then length(value) <= 200 and regexp_matches(s, concat('(?i)', value)) end, false) as ok
+      from (select p.*, case field when 'raw' then raw when 'message' then raw when 'level' then 'info' when 'stream' then stream when 'source' then source when 'timestamp' then ts_ms::varchar end as s from predicates p join v_tx3 v on v.log_id = p.log_id) p) q group by k) g, unnest(range(1, case when k % 5 = 0 then 5 else 2 end)) u(seq)) c""",
+    "v_tx3", "predicates",
+)
+def claims_of_every_kind(spark, sf_dir):
+    """Claims with one to twelve predicates of all operators over all fields, several claims for one transaction among them."""
+    k = F.col("k")
+    given = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(o).alias("op"), F.lit(v).alias("value")) for f, o, v in _OPS])
+    many = F.when(k % 13 == 0, 12).otherwise(1 + k % 3)
+    preds = F.transform(F.sequence(F.lit(0).cast("long"), many - 1), lambda i: F.struct(F.concat(F.lit("a"), k).alias("log_id"), F.get(given, ((k + i) % 12).cast("int"))["field"].alias("field"), F.get(given, ((k + i) % 12).cast("int"))["op"].alias("op"), F.get(given, ((k + i) % 12).cast("int"))["value"].alias("value")))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("k"))
+    c = o.withColumn("seq", F.explode(F.sequence(F.lit(1), F.when(k % 5 == 0, 4).otherwise(1)))).select(
+        F.concat(F.lit("c"), k, F.lit("-"), "seq").alias("claim_id"), F.concat(F.lit("m"), k).alias("corr_id"), "seq", F.lit("Title").alias("title"), F.lit("odd").alias("kind"), F.lit("low").alias("severity"),
+        F.array(F.concat(F.lit("a"), k)).alias("evidence"), preds.alias("predicates"),
+    )
+    lines = _xml_events(spark, sf_dir).select("corr_id", "log_id", "raw", F.col("raw").alias("message"), F.lit("info").alias("level"), "stream", "source", "ts_ms")
+    return claims.admit(c, lines).select("claim_id", "reason")
+
+
+@query("select vec_id, round(distance, 6) as distance from (select e.vec_id, 1 - list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as distance from embeddings e, (select embedding from embeddings where vec_id = 1) q where e.embedding is not null and e.label = 1 order by distance, e.vec_id limit 20) x")
+def filtered_neighbours(spark, sf_dir):
+    """The nearest of one label: the filter comes before the ranking."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    q = e.where("vec_id = 1").first()
+    return similarity.nearest(e.where("label = 1"), "embedding", list(q["embedding"]) if q else None, 20, "vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("select log_id, ts_ms from v_logs where source = 'splunk' order by ts_ms desc, log_id limit 20", "v_logs")
+def newest_without_a_vector(spark, sf_dir):
+    logs = view(spark, sf_dir, "v_logs").where("source = 'splunk'")
+    return similarity.nearest(logs, "raw", None, 20, "log_id", F.col("ts_ms")).select("log_id", "ts_ms")
