@@ -59,7 +59,7 @@ def extract_email_text(raw):
     """Body after the first empty line, soft line breaks undone, first 4000 characters."""
     at = F.instr(raw, "\r\n\r\n")
     body = F.when(at > 0, F.substring(raw, at + 4, F.length(raw))).otherwise(raw)
-    return F.substring(F.trim(F.regexp_replace(body, "=\r\n", "")), 1, 4000)
+    return F.substring(F.regexp_replace(F.regexp_replace(body, r"=\r?\n", ""), r"^\s+|\s+$", ""), 1, 4000)
 
 
 def read_email(spark: SparkSession, path: str, since: int | None = None, stream: bool = False) -> DataFrame:
