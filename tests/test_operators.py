@@ -198,3 +198,14 @@ def test_a_timer_fires_on_an_idle_batch_when_the_clock_says_so(spark, tmp_path):
         assert not rows or rows == [0]
     finally:
         q.stop()
+
+
+def test_label_metrics_take_one_scan(spark):
+    c = spark.createDataFrame([(True, True, "a", 1), (False, True, None, 1), (True, False, "b", 2)], "expected boolean, flagged boolean, app string, mode int")
+    m = validation.metrics(c, "app", "mode")
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    got = {(r.by, r.value): (r.tp, r.fp, r.fn) for r in m.collect()}
+    assert got == {("all", "all"): (1, 1, 1), ("app", "a"): (1, 0, 0), ("app", None): (0, 1, 0), ("app", "b"): (0, 0, 1), ("mode", "1"): (1, 1, 0), ("mode", "2"): (0, 0, 1)}
+    empty = validation.metrics(c.where("false"), "app").collect()
+    assert [(r.by, r.accuracy) for r in empty] == [("all", 1.0)]
