@@ -38,3 +38,10 @@ def test_query(spark, duck, name):
     want = duck.execute(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="tables not given")
+def test_related_logs_of_all_orders(spark):
+    """Open orders' lines count as those of settled ones do."""
+    got = {r.corr_id for r in QUERIES["related_logs"](spark, DATA).collect()}
+    assert got == {f"m{r.o_orderkey}" for r in spark.read.parquet(f"{DATA}/orders.parquet").collect()}
