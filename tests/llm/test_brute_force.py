@@ -195,3 +195,31 @@ def test_wide_components_have_exact_scores(width, top):
     x[0], q[0] = top, top
     want = [[min(max(sum(int(a) * int(b) for a, b in zip(r, s, strict=True)), -(1 << 63)), (1 << 63) - 1) for s in q] for r in x]
     assert _products(x, q).tolist() == want
+
+
+def test_line_links_do_not_depend_on_other_lines(spark):
+    """Two lines that are linked alone stay so among many others with the same n-grams."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(400)]
+    passage = " ".join(words[:6])
+    pairs = []
+    for k in range(40):
+        line = passage + " " + " ".join(rng.sample(words, 12))
+        chars = list(line)
+        for i in rng.sample(range(len(passage) + 1, len(line)), 9):
+            chars[i] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        pairs.append((2 * k, line, "".join(chars)))
+    others = [(1000 + k, passage + " " + " ".join(rng.sample(words, 12))) for k in range(200)]
+    rows = [r for k, a, b in pairs for r in ((k, a), (k + 1, b))]
+    removed = lambda x: {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(x, TEXTS)).where("n_removed = 1").collect()}
+    alone = set().union(*(removed(rows[at : at + 2]) for at in (0, 2)))
+    among = removed(rows + others)
+    assert alone == {1, 3} and alone <= among and {2 * k + 1 for k in range(40)} <= among
+
+
+def test_letters_apart():
+    rng = random.Random(12)
+    lines = [bytes(rng.choices(b"abcdef ", k=rng.randrange(120))) for _ in range(600)]
+    apart = line_dedup.letters_apart(lines[:300], lines[300:]).tolist()
+    assert all(x <= line_dedup.edit_distance(a, b) for x, a, b in zip(apart, lines[:300], lines[300:], strict=True))
+    assert line_dedup.letters_apart([b"abc", b""], [b"cabx", b""]).tolist() == [1, 0]
