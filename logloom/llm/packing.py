@@ -17,6 +17,7 @@ import os
 import re
 from array import array
 from bisect import bisect_right, insort
+from codecs import charmap_decode
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -35,9 +36,10 @@ END = b"\x01\x00\x00\x00"
 CACHE = 500_000
 #: Words that the tokenizer neither splits nor folds but for their case, and how it writes the bytes that are not printable.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-WRITTEN = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174))}
-#: Bytes of texts whose new words are encoded together.
-TOGETHER = 1_000_000
+_UNPRINTED = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174)]
+WRITTEN = "".join(chr(256 + _UNPRINTED.index(b)) if b in _UNPRINTED else chr(b) for b in range(256))
+#: ASCII punctuation but apostrophes that ends a word after a letter or digit; the tokenizer takes it as a piece of its own.
+ENDING = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[0-9a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-&(-/:-@\[-`{-~]*(?![^ \t-\r])")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -47,76 +49,60 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Ids(dict):
+    """Ids by word; those of a word that is missing are found and kept."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.find(word)
+        return ids
+
+
 class Subwords:
     """Subword ids of words (bytes), as little-endian uint32 bytes.
 
     The tokenizer never joins anything across blanks, so words can be encoded one by one and kept. Nor does it join a
-    letter or digit with a comma or full stop after it, and it lowers A-Z, so few forms of a word are encoded.
+    letter or digit with punctuation after it, and it lowers A-Z, so texts are lowered and ENDING split off first, and few forms of a word are encoded.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Ids(self._find)
         self.before: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.marks = {m: self._encode([m.decode()])[0] for m in (b"", b",", b".")}
         probes = ["word", "Né", "straße", "overthrown", "àÿx"]
         self.direct = [self._plain(w) for w in probes] == self._encode(probes)
 
     def _plain(self, word: str) -> bytes:
         """A plain word goes to the merging model as it is, without the steps before it."""
-        written = word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(WRITTEN)
+        written = charmap_decode(word.lower().encode(), "strict", WRITTEN)[0]
         return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def take_up(self, words: set[bytes]) -> None:
-        """Make the ids of all these words known."""
-        if len(self.known) > CACHE:
-            self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        missing = words.difference(known)
-        if before:
-            known.update((w, before[w]) for w in missing if w in before)
-            missing.difference_update(before)
-        forms = []
-        for w in missing:
-            mark = w[-1:] if w[-1:] in (b",", b".") and w[-2:-1].isalnum() else b""
-            forms.append((w, (w[:-1] if mark else w).lower(), mark))
-        other: list[tuple[bytes, str]] = []
-        for s in {s for _, s, _ in forms}.difference(known):
-            word = s.decode("utf-8", "replace")
-            if self.direct and PLAIN.fullmatch(word):
-                known[s] = self._plain(word)
-            else:
-                other.append((s, word))
-        for at in range(0, len(other), 5000):
-            stems, texts = zip(*other[at : at + 5000], strict=True)
-            known.update(zip(stems, self._encode(list(texts)), strict=True))
-        known.update((w, known[s] + self.marks[m]) for w, s, m in forms)
+    def _find(self, word: bytes) -> bytes:
+        """The ids of a word in which A-Z are lowered."""
+        if (ids := self.before.get(word)) is not None:
+            return ids
+        if self.direct and word.isalpha():  # ASCII letters are written as they are
+            return array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+        text = word.decode("utf-8", "replace")
+        return self._plain(text) if self.direct and PLAIN.fullmatch(text) else self._encode([text])[0]
 
     def each(self, texts: Iterable[bytes]) -> Iterator[tuple[list[bytes], bytes]]:
-        """The words of each text and their ids; new words of many texts are encoded together."""
-        group: list[bytes] = []
-        size = 0
-        for text in texts:
-            group.append(text)
-            size += len(text)
-            if size >= TOGETHER:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[bytes]) -> Iterator[tuple[list[bytes], bytes]]:
-        self.take_up(set(b" ".join(texts).split()))
-        of = self.known.__getitem__
+        """The words of each text, as they are looked up, and their ids."""
         for text in texts:
-            words = text.split()
-            yield words, b"".join(map(of, words))
+            if len(self.known) > CACHE:
+                self.known, self.before = _Ids(self._find), self.known
+            words = ENDING.sub(rb" \g<0>", text.lower()).split()
+            yield words, b"".join(map(self.known.__getitem__, words))
 
 
 @lru_cache(maxsize=1)

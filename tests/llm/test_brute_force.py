@@ -223,3 +223,13 @@ def test_letters_apart():
     apart = line_dedup.letters_apart(lines[:300], lines[300:]).tolist()
     assert all(x <= line_dedup.edit_distance(a, b) for x, a, b in zip(apart, lines[:300], lines[300:], strict=True))
     assert line_dedup.letters_apart([b"abc", b""], [b"cabx", b""]).tolist() == [1, 0]
+
+
+def test_subwords_of_forms_share_their_stem():
+    """Case and punctuation after a word add no word to encode, and the ids stay the tokenizer's."""
+    known = packing.Subwords(packing.vocabulary_path())
+    forms = ["über", "Über", "ÜBER", "über,", "über.***", "WORD!!", "word", "Word.", "word)\"", "a<\u0338", "x'.", "it's.", "×,", "é,b.", "c3!\x0bd?", "9%", "..,", "ª.", "e\u0301,", "\u0301,", "a,\u00a0b", "n.\x1cb"]
+    texts = [*forms, " ".join(forms), "\n".join(forms)]
+    for (_, ids), text in zip(known.each(x.encode() for x in texts), texts, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert not {b"word.", b"Word.", b"WORD!!", "über,".encode()} & set(known.known)
