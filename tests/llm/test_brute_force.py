@@ -233,3 +233,22 @@ def test_subwords_of_forms_share_their_stem():
     for (_, ids), text in zip(known.each(x.encode() for x in texts), texts, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids, text
     assert not {b"word.", b"Word.", b"WORD!!", "über,".encode()} & set(known.known)
+
+
+def test_missing_pieces_bound_edit_distances():
+    """Pieces of a line that stand nowhere in another are never more than their edits, and tell lines of the same syllables apart."""
+    rng = random.Random(6)
+    syllables = [bytes(rng.choices(b"aeinorst", k=rng.randrange(2, 5))) for _ in range(40)]
+    line = lambda: b"".join(rng.choice(syllables) + rng.choice((b"", b" ")) for _ in range(rng.randrange(1, 120)))
+    a, b = [line() for _ in range(200)], [line() for _ in range(200)]
+    for x in a[:100]:  # near ones
+        y = bytearray(x)
+        for _ in range(rng.randrange(len(x) // 4 + 1)):
+            y[rng.randrange(len(y))] = rng.choice(b"aeinorst ")
+        a.append(x)
+        b.append(bytes(y))
+    a, b = [*a, b"", b"x", b"y" * 5000], [*b, b"abc", b"", b"z" * 3000]
+    apart = line_dedup.pieces_apart(a, b).tolist()
+    assert all(n <= line_dedup.edit_distance(x, y) for n, x, y in zip(apart, a, b, strict=True))
+    unlike = [i for i in range(200) if min(len(a[i]), len(b[i])) > 100]
+    assert sum(apart[i] > len(a[i]) // 5 for i in unlike) > 0.8 * len(unlike)
