@@ -1,6 +1,7 @@
 """Training-data operators against plain versions of what their statements say."""
 
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import pytest
 from brute import base_spans
 from pyspark.sql import functions as F
 
-from logloom.llm import line_dedup, lm_scoring, near_dedup, packing, private_data, quality_classifier, toxicity
+from logloom.llm import common, line_dedup, lm_scoring, near_dedup, packing, private_data, quality_classifier, toxicity
 
 TEXTS = "doc_id long, text string"
 
@@ -252,3 +253,16 @@ def test_missing_pieces_bound_edit_distances():
     assert all(n <= line_dedup.edit_distance(x, y) for n, x, y in zip(apart, a, b, strict=True))
     unlike = [i for i in range(200) if min(len(a[i]), len(b[i])) > 100]
     assert sum(apart[i] > len(a[i]) // 5 for i in unlike) > 0.8 * len(unlike)
+
+
+def test_dedup_leaves_little_on_disk(spark):
+    """Texts, keys and candidates are deleted before the result is read; what it still needs is not."""
+    text = "\n".join(f"line {chr(97 + k)} of many words that say little about {chr(97 + k) * 9}" for k in range(9))
+    docs = spark.createDataFrame([(k, text.replace("many", f"many{k % 3}x"), "s", "en") for k in range(40)], "doc_id long, text string, source string, lang string")
+    root = common.scratch_dir(spark)
+    for make, left in ((line_dedup.dedup_lines, {"lines-gone", "links", "up"}), (near_dedup.keep_one, {"sets", "classes", "labels", "links", "up"})):
+        before = set(os.listdir(root))
+        out = make(docs)
+        made = {re.sub("^logloom-|-[0-9a-f]{32}$", "", f) for f in set(os.listdir(root)) - before if f.startswith("logloom-")}
+        assert made <= left
+        assert 0 < out.count() <= 40
