@@ -1,4 +1,5 @@
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from logloom import sources, streaming
@@ -209,3 +210,38 @@ def test_label_metrics_take_one_scan(spark):
     assert got == {("all", "all"): (1, 1, 1), ("app", "a"): (1, 0, 0), ("app", None): (0, 1, 0), ("app", "b"): (0, 0, 1), ("mode", "1"): (1, 1, 0), ("mode", "2"): (0, 0, 1)}
     empty = validation.metrics(c.where("false"), "app").collect()
     assert [(r.by, r.accuracy) for r in empty] == [("all", 1.0)]
+
+
+def test_keyed_state_sends_no_message_that_it_does_not_need():
+    """A new transaction reads and writes its state and sets its timer; one that closes lists its timers; a closed one is read only."""
+    said = []
+
+    class Handle:
+        timers, held = [], None
+
+        def __getattr__(self, name):
+            def call(*args):
+                said.append(name)
+                if name == "get":
+                    return self.held
+                if name == "update":
+                    Handle.held = args[0]
+                if name == "registerTimer":
+                    Handle.timers = [args[0]]
+                return iter(self.timers)
+
+            return call
+
+    class Time:
+        def getCurrentProcessingTimeInMs(self):  # noqa: N802
+            return 10
+
+    machine = streaming._Transactions(protocols.XML_APP.phases, frozenset({"OK", "COMPLETED"}), 100, None)
+    machine.handle = machine.state = Handle()
+    out = []
+    for k, (t, kind, code) in enumerate([(1, "REQUEST", None), (2, "ACK", "bad"), (5, "RESPONSE", "COMPLETED")]):
+        row = Row(corr_id="m1", application="xml", type=kind, ts_ms=t, log_id=f"l{t}", ack_code=code)
+        out.append([(r.corr_id, r.status, r.waiting_for) for r in machine.handleInputRows(("m1",), iter([row]), Time())])
+        said.append(k)
+    assert out == [[("m1", "awaiting", "ACK")], [("m1", "failed", None)], []]
+    assert said == ["get", "registerTimer", "update", 0, "get", "listTimers", "deleteTimer", "update", 1, "get", 2]
