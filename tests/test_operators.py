@@ -245,3 +245,17 @@ def test_keyed_state_sends_no_message_that_it_does_not_need():
         said.append(k)
     assert out == [[("m1", "awaiting", "ACK")], [("m1", "failed", None)], []]
     assert said == ["get", "registerTimer", "update", 0, "get", "listTimers", "deleteTimer", "update", 1, "get", 2]
+
+
+def test_a_protocol_reads_a_tag_once_and_leaves_other_groups_lines(spark):
+    xml = "<m><messageType>{}</messageType><messageId>{}</messageId>{}</m>"
+    rows = [
+        ("/app/payments", xml.format("REQUEST", "m1", "")), ("/app/payments", xml.format("ACK", "a1", "<initMessageId>m1</initMessageId><ackCode>OK</ackCode>")),
+        ("/app/payments", xml.format("ACK", "a2", "")), ("/app/calls", "correlationID: c1; Request sent"), ("/app/calls", xml.format("REQUEST", "m2", "")),
+        ("/other", '{"type":"response","id":"j1","status":500}'), ("/other", "correlationID: c2; nothing"), ("/other", None),
+    ]
+    e = protocols.events(spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], "log_id string, stream string, raw string"))
+    got = {(r.log_id, r.application, r.type, r.corr_id, r.ack_code, r.own_id) for r in e.collect()}
+    assert got == {("0", "xml", "REQUEST", "m1", None, "m1"), ("1", "xml", "ACK", "m1", "OK", "a1"), ("3", "calls", "REQUEST", "c1", None, None), ("5", "calls", "RESPONSE", "j1", "500", None)}
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("initMessageId>)") + plan.count("</(?:[\\w.-]+:)?initMessageId>") == 1  # the pattern ends so
