@@ -259,3 +259,18 @@ def test_a_protocol_reads_a_tag_once_and_leaves_other_groups_lines(spark):
     assert got == {("0", "xml", "REQUEST", "m1", None, "m1"), ("1", "xml", "ACK", "m1", "OK", "a1"), ("3", "calls", "REQUEST", "c1", None, None), ("5", "calls", "RESPONSE", "j1", "500", None)}
     plan = e._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("initMessageId>)") + plan.count("</(?:[\\w.-]+:)?initMessageId>") == 1  # the pattern ends so
+
+
+def test_transaction_lines_are_left_out_before_they_are_parsed(spark):
+    lines = ["INFO correlationID: c9; Response from Data Services failed with error", "plain error in worker"]
+    df = spark.createDataFrame([("cloudwatch", "s", i, x, None) for i, x in enumerate(lines)], sources.RECORD)
+    rest = logs.unclaimed(df)
+    assert rest.columns == df.columns and [r.raw for r in rest.collect()] == lines[1:]
+    assert [r.n_logs for r in logs.category_clusters(parsing.parse(rest), claimed=False).collect()] == [1]
+    plan = logs.category_clusters(parsing.parse(rest), claimed=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("correlationID") == protocols_named(df) and plan.index("_claimed") > plan.index("message")
+
+
+def protocols_named(df):
+    """How often the plan of one look at a line names the pattern of an id."""
+    return logs.unclaimed(df)._jdf.queryExecution().optimizedPlan().toString().count("correlationID")
