@@ -274,3 +274,15 @@ def test_transaction_lines_are_left_out_before_they_are_parsed(spark):
 def protocols_named(df):
     """How often the plan of one look at a line names the pattern of an id."""
     return logs.unclaimed(df)._jdf.queryExecution().optimizedPlan().toString().count("correlationID")
+
+
+def test_outcomes_move_numbers_and_no_texts(spark):
+    lines = [("1", 1, "INFO correlationID: A; RequestId: 0000000000000000aa"), ("2", 2, "(12345678) X-Correlation-ID=A"), ("3", 3, "(12345678) Method completed with status: 500"), ("4", 4, "correlationID: B")]
+    df = spark.createDataFrame(lines, "log_id string, ts_ms long, raw string")
+    calls = spark.createDataFrame([("corr:A", "corr:A"), ("req:12345678", "corr:A"), ("req:0000000000000000aa", "corr:A"), ("corr:B", "corr:B")], "id string, call string")
+    out = identity.outcomes(df, calls)
+    assert {(r.call, r.http_status, r.outcome, r.n_lines) for r in out.collect()} == {("corr:A", 500, "failed", 3), ("corr:B", None, "awaiting", 1)}
+    assert sorted(out.collect()) == sorted(identity.http_outcomes(identity.related_lines(df, calls)).collect())
+    assert {(r.call, r.log_id) for r in identity.call_lines(df, calls).collect()} == {("corr:A", "1"), ("corr:A", "2"), ("corr:A", "3"), ("corr:B", "4")}
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(raw" in plan(identity.related_lines(df, calls)) and "first(raw" not in plan(out) + plan(identity.call_lines(df, calls))
